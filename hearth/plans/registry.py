@@ -27,4 +27,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from hearth.plans import (  # noqa: F401
         q_cluster,
+        q_profile,
     )
