@@ -28,4 +28,5 @@ def load_all() -> None:
     from hearth.plans import (  # noqa: F401
         q_cluster,
         q_profile,
+        q_kproto,
     )
