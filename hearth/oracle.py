@@ -63,3 +63,23 @@ def sql_mode(src: str, keys: list[str], field: str, alias: str) -> str:
     return (f"SELECT {k + ', ' if keys else ''}{field} AS {alias} FROM ("
             f"SELECT {k + ', ' if keys else ''}{field}, row_number() OVER ({part} ORDER BY count(*) DESC, {field}) AS _rn "
             f"FROM {src} WHERE {field} IS NOT NULL GROUP BY {k + ', ' if keys else ''}{field}) WHERE _rn = 1")
+
+
+view("candidates", """
+SELECT d.doc_id AS seq, 'psid' AS dataset, 'v' || CAST(d.doc_id % 700 AS VARCHAR) AS var_id,
+       'field_' || CAST(d.doc_id AS VARCHAR) AS var_name, d.text AS description, d.source AS short_label,
+       CASE WHEN d.doc_id % 97 = 0 THEN 'identifier'
+            ELSE CASE d.lang WHEN 'en' THEN 'demographics' WHEN 'fr' THEN 'income' WHEN 'de' THEN 'debt'
+                 ELSE d.lang END END AS category,
+       CASE WHEN d.doc_id % 89 = 0 THEN 'identifier' WHEN l.quality = 1 THEN 'continuous'
+            ELSE 'categorical' END AS data_type,
+       CAST(d.doc_id % 101 AS VARCHAR) || '%' AS usable_percentage,
+       CASE WHEN l.doc_id IS NULL THEN NULL WHEN d.doc_id % 50 = 0 THEN 'bad'
+            ELSE CAST(1 + d.n_chars % 10 AS VARCHAR) END AS importance_score,
+       CASE WHEN l.toxic = 1 THEN 'flagged' ELSE 'ok' END AS reasoning, coalesce(l.toxic, 0) AS toxic
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+
+view("codebook", """
+SELECT var_id, CASE WHEN max(doc_id) % 3 = 0 THEN '' ELSE arg_max(source || '-' || lang, doc_id) END AS label,
+       arg_max(text, doc_id) AS description
+FROM (SELECT *, 'v' || CAST(doc_id % 700 AS VARCHAR) AS var_id FROM documents) GROUP BY var_id""")

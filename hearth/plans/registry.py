@@ -29,4 +29,5 @@ def load_all() -> None:
         q_cluster,
         q_profile,
         q_kproto,
+        q_quota,
     )

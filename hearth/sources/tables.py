@@ -62,3 +62,45 @@ def households_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOUSEHOLD_CONTINUOUS = ["total", "qty_avg", "disc_avg", "ret_avg"]
 HOUSEHOLD_CATEGORICAL = ["status", "priority", "ret_status"]
+
+
+# Candidate fields derived from documents (+ labels): one row per document.
+# category by language (en demographics, fr income, de debt, es kept as an
+# unknown category), every 97th document an identifier; importance is text
+# ('bad' every 50th) and missing where the document has no label row.
+CATEGORY_BY_LANG = {"en": "demographics", "fr": "income", "de": "debt"}
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc"), "quality", "toxic")
+    j = d.join(lab, d["doc_id"] == lab["l_doc"], "left")
+    lang_cat = F.coalesce(F.create_map(*[x for k, v in CATEGORY_BY_LANG.items()
+                                         for x in (F.lit(k), F.lit(v))])[F.col("lang")], F.col("lang"))
+    return j.select(
+        F.col("doc_id").alias("seq"), F.lit("psid").alias("dataset"),
+        F.concat(F.lit("v"), (F.col("doc_id") % 700).cast("string")).alias("var_id"),
+        F.concat(F.lit("field_"), F.col("doc_id").cast("string")).alias("var_name"),
+        F.col("text").alias("description"), F.col("source").alias("short_label"),
+        F.when(F.col("doc_id") % 97 == 0, "identifier").otherwise(lang_cat).alias("category"),
+        F.when(F.col("doc_id") % 89 == 0, "identifier").when(F.col("quality") == 1, "continuous")
+        .otherwise("categorical").alias("data_type"),
+        F.concat((F.col("doc_id") % 101).cast("string"), F.lit("%")).alias("usable_percentage"),
+        F.when(F.col("l_doc").isNull(), F.lit(None).cast("string"))
+        .when(F.col("doc_id") % 50 == 0, F.lit("bad"))
+        .otherwise((1 + F.col("n_chars") % 10).cast("string")).alias("importance_score"),
+        F.when(F.col("toxic") == 1, "flagged").otherwise("ok").alias("reasoning"),
+        F.coalesce(F.col("toxic"), F.lit(0)).alias("toxic"))
+
+
+def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One codebook entry per candidate variable id: the latest document of the
+    id supplies label (empty for every third id) and description."""
+    d = table(spark, sf_dir, "documents").withColumn(
+        "var_id", F.concat(F.lit("v"), (F.col("doc_id") % 700).cast("string")))
+    g = d.groupBy("var_id").agg(F.max("doc_id").alias("last_doc"),
+                                F.max_by(F.struct("source", "lang", "text"), "doc_id").alias("r"))
+    return g.select("var_id",
+                    F.when(F.col("last_doc") % 3 == 0, F.lit(""))
+                    .otherwise(F.concat_ws("-", F.col("r.source"), F.col("r.lang"))).alias("label"),
+                    F.col("r.text").alias("description"))
