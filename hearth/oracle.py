@@ -83,3 +83,43 @@ view("codebook", """
 SELECT var_id, CASE WHEN max(doc_id) % 3 = 0 THEN '' ELSE arg_max(source || '-' || lang, doc_id) END AS label,
        arg_max(text, doc_id) AS description
 FROM (SELECT *, 'v' || CAST(doc_id % 700 AS VARCHAR) AS var_id FROM documents) GROUP BY var_id""")
+
+# responses: fit-score JSON in six shapes by event_id % 6 (bare, ```json fence,
+# embedded in prose, truncated, bare fence, list root); scores span -0.2 .. 1.09
+view("responses", """
+SELECT event_id AS rid, event_type, resp FROM (
+  SELECT event_id, event_type,
+         '{"fit_score": ' || CAST((event_id * 37) % 130 - 20 AS VARCHAR) || 'e-2, "reasoning": "' || event_type
+           || ' event"}' AS body,
+         CAST((event_id * 37) % 130 - 20 AS VARCHAR) AS fit_txt
+  FROM events) x,
+LATERAL (SELECT CASE event_id % 6
+    WHEN 0 THEN body
+    WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+    WHEN 2 THEN 'Here is my assessment: ' || body || ' Hope this helps.'
+    WHEN 3 THEN '{"fit_score": ' || fit_txt || 'e-2, "reasoning": "cut'
+    WHEN 4 THEN '```' || chr(10) || body || chr(10) || '```'
+    ELSE '[' || body || ']' END AS resp)""")
+
+# answers: truth letter (event_id * q) % 6 and prediction (event_id * q + event_id % 3) % 6,
+# 0 = missing, 1..5 = A..E; predictions decorated by event_id % 4 ("A", "A.", "a)", "(A)");
+# every 7th event answers with a JSON list instead of an object
+view("answers", "SELECT event_id AS hid, " + ", ".join(
+    f"CASE (event_id * {q}) % 6 WHEN 0 THEN NULL ELSE chr(64 + CAST((event_id * {q}) % 6 AS INTEGER)) END AS q{q}_gt"
+    for q in range(1, 11)) + """,
+  CASE WHEN event_id % 7 = 0 THEN '["A", "B"]' ELSE '{' || """ + " || ', ' || ".join(
+    f"""'"q{q}": ' || CASE (event_id * {q} + event_id % 3) % 6 WHEN 0 THEN 'null' ELSE '"' ||
+        CASE event_id % 4 WHEN 0 THEN chr(64 + CAST((event_id * {q} + event_id % 3) % 6 AS INTEGER))
+                          WHEN 1 THEN chr(64 + CAST((event_id * {q} + event_id % 3) % 6 AS INTEGER)) || '.'
+                          WHEN 2 THEN lower(chr(64 + CAST((event_id * {q} + event_id % 3) % 6 AS INTEGER))) || ')'
+                          ELSE '(' || chr(64 + CAST((event_id * {q} + event_id % 3) % 6 AS INTEGER)) || ')' END
+        || '"' END""" for q in range(1, 11)) + """ || '}' END AS answers
+FROM events""")
+
+# text_blocks: every document is a variable; its lines are its code values
+view("text_blocks", """
+SELECT doc_id AS seq, source AS grp, 'd' || CAST(doc_id AS VARCHAR) AS var_id,
+       source || ' ' || lang AS label, text AS description,
+       list_transform(string_split(text, chr(10)), lambda x, i: {'value': CAST(i AS VARCHAR), 'text': x}) AS code_values,
+       CAST(n_chars AS VARCHAR) || ' chars' AS availability
+FROM documents""")

@@ -30,4 +30,5 @@ def load_all() -> None:
         q_profile,
         q_kproto,
         q_quota,
+        q_text,
     )

@@ -104,3 +104,54 @@ def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("last_doc") % 3 == 0, F.lit(""))
                     .otherwise(F.concat_ws("-", F.col("r.source"), F.col("r.lang"))).alias("label"),
                     F.col("r.text").alias("description"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit-score responses in six shapes (see the SQL twin in hearth.oracle)."""
+    e = table(spark, sf_dir, "events")
+    fit_txt = ((F.col("event_id") * 37) % 130 - 20).cast("string")
+    body = F.concat(F.lit('{"fit_score": '), fit_txt, F.lit('e-2, "reasoning": "'), F.col("event_type"),
+                    F.lit(' event"}'))
+    k = F.col("event_id") % 6
+    resp = (F.when(k == 0, body)
+            .when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(k == 2, F.concat(F.lit("Here is my assessment: "), body, F.lit(" Hope this helps.")))
+            .when(k == 3, F.concat(F.lit('{"fit_score": '), fit_txt, F.lit('e-2, "reasoning": "cut')))
+            .when(k == 4, F.concat(F.lit("```\n"), body, F.lit("\n```")))
+            .otherwise(F.concat(F.lit("["), body, F.lit("]"))))
+    return e.select(F.col("event_id").alias("rid"), "event_type", resp.alias("resp"))
+
+
+def _letter(n: "F.Column") -> "F.Column":
+    return F.when(n == 0, F.lit(None).cast("string")).otherwise(F.char((n + 64).cast("long")))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground-truth letters q1_gt..q10_gt and a JSON answer object per event."""
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    cols = [_letter((eid * q) % 6).alias(f"q{q}_gt") for q in range(1, 11)]
+    items = []
+    for q in range(1, 11):
+        p = (eid * q + eid % 3) % 6
+        letter = F.char((p + 64).cast("long"))
+        deco = (F.when(eid % 4 == 0, letter).when(eid % 4 == 1, F.concat(letter, F.lit(".")))
+                .when(eid % 4 == 2, F.concat(F.lower(letter), F.lit(")")))
+                .otherwise(F.concat(F.lit("("), letter, F.lit(")"))))
+        val = F.when(p == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), deco, F.lit('"')))
+        items.append(F.concat(F.lit(f'"q{q}": '), val))
+    obj = F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}"))
+    ans = F.when(eid % 7 == 0, F.lit('["A", "B"]')).otherwise(obj)
+    return e.select(eid.alias("hid"), *cols, ans.alias("answers"))
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a codebook variable; its lines are its code values."""
+    d = table(spark, sf_dir, "documents")
+    codes = F.transform(F.split(F.col("text"), "\n"),
+                        lambda x, i: F.struct((i + 1).cast("string").alias("value"), x.alias("text")))
+    return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("grp"),
+                    F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("var_id"),
+                    F.concat_ws(" ", "source", "lang").alias("label"), F.col("text").alias("description"),
+                    codes.alias("code_values"),
+                    F.concat(F.col("n_chars").cast("string"), F.lit(" chars")).alias("availability"))
