@@ -123,3 +123,23 @@ SELECT doc_id AS seq, source AS grp, 'd' || CAST(doc_id AS VARCHAR) AS var_id,
        list_transform(string_split(text, chr(10)), lambda x, i: {'value': CAST(i AS VARCHAR), 'text': x}) AS code_values,
        CAST(n_chars AS VARCHAR) || ' chars' AS availability
 FROM documents""")
+
+# labeled: households_labeled after the small-cluster rule (C8), noise = -1
+view("labeled", """
+SELECT h.* EXCLUDE (cluster), CAST(CASE WHEN s.n < t.t THEN -1 ELSE h.cluster END AS INTEGER) AS cluster
+FROM households_labeled h JOIN (SELECT cluster, count(*) AS n FROM households_labeled GROUP BY cluster) s USING (cluster),
+     (SELECT greatest(5, round_even(0.01 * count(*), 0)) AS t FROM households_labeled) t""", ["households_labeled"])
+
+# state: status by hid % 5 (validated, problem, pending, unseen, unseen)
+view("state", """
+SELECT hid, cluster, CASE hid % 5 WHEN 0 THEN 'validated' WHEN 1 THEN 'problem' WHEN 2 THEN 'pending'
+                     ELSE 'unseen' END AS status,
+       cluster AS initial_cluster, cluster AS initial_persona,
+       CASE WHEN hid % 5 = 0 THEN cluster END AS last_valid_cluster,
+       CASE WHEN hid % 5 = 0 THEN cluster END AS last_valid_persona
+FROM labeled""", ["labeled"])
+
+# evaluated(hid, persona_id): validated / problem rows for their own persona, pending ones for the next persona
+view("evaluated", """
+SELECT hid, CASE WHEN hid % 5 = 2 THEN CAST((cluster + 1) % 7 AS INTEGER) ELSE cluster END AS persona_id
+FROM labeled WHERE hid % 5 IN (0, 1, 2) AND cluster >= 0""", ["labeled"])

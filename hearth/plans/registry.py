@@ -31,4 +31,5 @@ def load_all() -> None:
         q_kproto,
         q_quota,
         q_text,
+        q_refine,
     )

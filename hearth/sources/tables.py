@@ -155,3 +155,36 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws(" ", "source", "lang").alias("label"), F.col("text").alias("description"),
                     codes.alias("code_values"),
                     F.concat(F.col("n_chars").cast("string"), F.lit(" chars")).alias("availability"))
+
+
+def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """households_labeled after the small-cluster rule (noise = -1)."""
+    from hearth.operators.cluster_stats import filter_small_clusters
+    return filter_small_clusters(households_labeled(spark, sf_dir))
+
+
+STATUS_BY_MOD5 = ["validated", "problem", "pending", "unseen", "unseen"]
+
+
+def household_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = labeled(spark, sf_dir)
+    m = F.col("hid") % 5
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUS_BY_MOD5]), (m + 1).cast("int"))
+    valid = m == 0
+    return lab.select("hid", "cluster", status.alias("status"), F.col("cluster").alias("initial_cluster"),
+                      F.col("cluster").alias("initial_persona"),
+                      F.when(valid, F.col("cluster")).alias("last_valid_cluster"),
+                      F.when(valid, F.col("cluster")).alias("last_valid_persona"))
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = labeled(spark, sf_dir)
+    m = F.col("hid") % 5
+    return lab.where(m.isin(0, 1, 2) & (F.col("cluster") >= 0)).select(
+        "hid", F.when(m == 2, ((F.col("cluster") + 1) % 7).cast("int")).otherwise(F.col("cluster"))
+        .alias("persona_id"))
+
+
+def fit_expr(hid: "F.Column", persona: "F.Column") -> "F.Column":
+    """Deterministic stand-in for a model fit score of (household, persona)."""
+    return ((hid * 7919 + persona.cast("long") * 31) % 1000) / 1000.0
