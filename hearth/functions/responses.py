@@ -84,7 +84,7 @@ def questionnaire_score(truth: list[Column], predictions_json: Column, dataset:
         is_unknown = gt == unknown_letter
         miss = t.isNull() | ~gt.isin(LETTERS) | F.coalesce(is_unknown, F.lit(False))
         miss = F.coalesce(miss, F.lit(True))
-        pred = normalize_answer(preds[q])
+        pred = normalize_answer(preds[q])  # staged by questionnaire_scores()
         hit = (~miss) & (pred != "") & (pred == gt)
         missing = missing + miss.cast("int")
         usable = usable + (~miss).cast("int")
@@ -162,3 +162,25 @@ def balanced_json(c: Column) -> Column:
 
 def balanced_json_or_array(c: Column) -> Column:
     return F.pandas_udf(_scan_objects_or_arrays, "string")(c)
+
+
+def questionnaire_scores(df, truth_cols: list[str], answers_col: str, dataset: str, out: str = "score"):
+    """R1 as staged columns: the answer object is parsed once and every
+    answer normalised once (instead of re-parsing per question)."""
+    ds = (dataset or "").strip().lower()
+    d = df.withColumn("_m", F.from_json(F.col(answers_col), "map<string,string>")) \
+          .withColumn("_obj", F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(answers_col))).startswith("OBJECT"),
+                                         F.lit(False)))
+    for i, _ in enumerate(truth_cols, start=1):
+        d = d.withColumn(f"_p{i}", normalize_answer(F.col("_m")[f"q{i}"]))
+    missing, correct, usable = F.lit(0), F.lit(0), F.lit(0)
+    for i, t in enumerate(truth_cols, start=1):
+        q = f"q{i}"
+        gt = F.upper(_ws_trim(F.col(t).cast("string")))
+        unknown_letter = "D" if q in UNKNOWN_D.get(ds, []) else "C"
+        miss = F.coalesce(F.col(t).isNull() | ~gt.isin(LETTERS) | (gt == unknown_letter), F.lit(True))
+        hit = F.coalesce((~miss) & (F.col(f"_p{i}") != "") & (F.col(f"_p{i}") == gt), F.lit(False))
+        missing, usable, correct = missing + miss.cast("int"), usable + (~miss).cast("int"), correct + hit.cast("int")
+    score = (F.when(usable == 0, F.lit(1.0)).when(~F.col("_obj"), F.greatest(F.lit(0.5), missing / 10.0))
+             .otherwise((missing + correct) / 10.0))
+    return d.withColumn(out, score).drop("_m", "_obj", *[f"_p{i}" for i in range(1, len(truth_cols) + 1)])

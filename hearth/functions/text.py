@@ -101,6 +101,70 @@ def render_variable_block(var_id: Column, label: Column, description: Column, co
     return F.when(F.length(full) > MAX_CHUNK_CHARS, reduced).otherwise(full)
 
 
+def _trunc_normalized(n: Column, m: int) -> Column:
+    """T2 on text that is already whitespace-normalised."""
+    if m <= 0:
+        return F.lit("")
+    if m <= 3:
+        return F.when(F.length(n) <= m, n).otherwise(F.substring(n, 1, m))
+    return F.when(F.length(n) <= m, n).otherwise(F.concat(F.rtrim(F.substring(n, 1, m - 3)), F.lit("...")))
+
+
+def staged_code_list(df: DataFrame, codes: str, out: str) -> DataFrame:
+    """T3 as staged columns: the truncated lines are computed once and reused
+    (CollapseProject keeps non-cheap expressions that are referenced twice)."""
+    total = F.size(F.col(codes))
+    picked = F.when(total <= CODES_HEAD + CODES_TAIL, F.col(codes)).otherwise(
+        F.concat(F.slice(codes, 1, CODES_HEAD),
+                 F.slice(F.col(codes), F.greatest(total - CODES_TAIL + 1, F.lit(CODES_HEAD + 1)), F.lit(CODES_TAIL))))
+
+    def line(cv):
+        v = _trunc_lambda(cv["value"], CODE_VALUE_CHARS)
+        t = _trunc_lambda(cv["text"], CODE_TEXT_CHARS)
+        return F.struct(v.alias("v"), t.alias("t"))
+
+    d = df.withColumn("_vt", F.transform(picked, line))
+    d = d.withColumn("_lines", F.filter(F.transform("_vt", lambda x: (
+        F.when((x["v"] != "") & (x["t"] != ""), F.concat(F.lit("- "), x["v"], F.lit(": "), x["t"]))
+        .when(x["v"] != "", F.concat(F.lit("- "), x["v"])).when(x["t"] != "", F.concat(F.lit("- "), x["t"])))),
+        lambda y: y.isNotNull()))
+    shown = F.size("_lines")
+    omitted = F.greatest(total - shown, F.lit(0))
+    header = F.when(omitted > 0, F.format_string("**Code Values** (%d total; showing %d):\n", total, shown)) \
+        .otherwise(F.format_string("**Code Values** (%d):\n", total))
+    all_lines = F.when(omitted > 0, F.concat(F.col("_lines"), F.array(F.format_string("- ... (%d more omitted)", omitted)))) \
+        .otherwise(F.col("_lines"))
+    body = F.concat(header, F.array_join(all_lines, "\n"), F.lit("\n"))
+    return d.withColumn(out, F.when(F.col(codes).isNull() | (total == 0), F.lit("")).otherwise(body)) \
+        .drop("_vt", "_lines")
+
+
+def render_blocks(df: DataFrame, var_id: str, label: str, description: str, codes: str,
+                  availability: str, out: str = "block") -> DataFrame:
+    """T4 as staged columns: each long text is whitespace-normalised once."""
+    d = df.withColumn("_lab_n", normalize_ws(F.coalesce(F.col(label).cast("string"), F.lit("N/A")))) \
+          .withColumn("_desc_n", normalize_ws(F.coalesce(F.col(description).cast("string"), F.lit("N/A"))))
+    d = staged_code_list(d, codes, "_codes")
+
+    def block(lab: Column, desc: Column, with_codes: bool) -> Column:
+        parts = [F.lit("\n## "), F.col(var_id).cast("string"), F.lit("\n**Label**: "), lab, F.lit("\n"),
+                 F.when((desc != "") & (desc != lab), F.concat(F.lit("**Description**: "), desc, F.lit("\n")))
+                 .otherwise(F.lit(""))]
+        if with_codes:
+            parts.append(F.when(F.col("_codes") != "", F.concat(F.lit("\n"), F.col("_codes"))).otherwise(F.lit("")))
+        parts.append(F.when(F.col(availability).isNotNull(),
+                            F.concat(F.lit("\n**Availability**: "), F.col(availability).cast("string"), F.lit("\n")))
+                     .otherwise(F.lit("")))
+        return F.concat(*parts)
+
+    d = d.withColumn("_full", block(_trunc_normalized(F.col("_lab_n"), LABEL_CHARS),
+                                    _trunc_normalized(F.col("_desc_n"), DESCRIPTION_CHARS), True))
+    reduced = block(_trunc_normalized(F.col("_lab_n"), min(LABEL_CHARS, REDUCED_LABEL_CHARS)),
+                    _trunc_normalized(F.col("_desc_n"), min(DESCRIPTION_CHARS, REDUCED_DESCRIPTION_CHARS)), False)
+    d = d.withColumn(out, F.when(F.length("_full") > MAX_CHUNK_CHARS, reduced).otherwise(F.col("_full")))
+    return d.drop("_lab_n", "_desc_n", "_codes", "_full")
+
+
 def _pack_group(pdf: pd.DataFrame, max_chars: int, max_vars: int) -> pd.DataFrame:
     pdf = pdf.sort_values("seq", kind="stable")
     chunk, count, chars, out = 0, 0, 0, []

@@ -78,7 +78,7 @@ def q_truncate(spark, sf_dir):
 @register("compact_code_list", with_views(f"SELECT seq, {codes_sql('code_values')} AS codes FROM text_blocks",
                                           "text_blocks"))
 def q_codes(spark, sf_dir):
-    return text_blocks(spark, sf_dir).select("seq", tx.compact_code_list(F.col("code_values")).alias("codes"))
+    return tx.staged_code_list(text_blocks(spark, sf_dir), "code_values", "codes").select("seq", "codes")
 
 
 @register("render_variable_block", with_views(
@@ -86,15 +86,14 @@ def q_codes(spark, sf_dir):
     "FROM text_blocks", "text_blocks"))
 def q_block(spark, sf_dir):
     t = text_blocks(spark, sf_dir)
-    return t.select("seq", tx.render_variable_block(F.col("var_id"), F.col("label"), F.col("description"),
-                                                    F.col("code_values"), F.col("availability")).alias("block"))
+    return tx.render_blocks(t, "var_id", "label", "description", "code_values", "availability").select("seq", "block")
 
 
 @register("pack_chunks")
 def q_pack(spark, sf_dir):
     t = text_blocks(spark, sf_dir)
-    blocks = t.select("grp", "seq", tx.render_variable_block(F.col("var_id"), F.col("label"), F.col("description"),
-                                                             F.col("code_values"), F.col("availability")).alias("block"))
+    blocks = tx.render_blocks(t, "var_id", "label", "description", "code_values", "availability").select(
+        "grp", "seq", "block")
     return tx.pack_chunks(blocks, "grp", "seq", "block")
 
 
@@ -192,8 +191,7 @@ def questionnaire_sql(dataset: str) -> str:
 @register("questionnaire_score", with_views(questionnaire_sql("psid"), "answers"))
 def q_questionnaire(spark, sf_dir):
     a = answers(spark, sf_dir)
-    truth = [F.col(f"q{q}_gt") for q in range(1, 11)]
-    return a.select("hid", rp.questionnaire_score(truth, F.col("answers"), "psid").alias("score"))
+    return rp.questionnaire_scores(a, [f"q{q}_gt" for q in range(1, 11)], "answers", "psid").select("hid", "score")
 
 
 @register("combined_score", with_views(f"""
@@ -201,8 +199,7 @@ SELECT a.hid, f.fit_score * 0.5 + a.score * 0.5 AS combined, f.fit_score AS fit_
 FROM ({questionnaire_sql('psid')}) a JOIN ({_T16}) f ON f.rid = a.hid""", "answers", "responses"))
 def q_combined(spark, sf_dir):
     a = answers(spark, sf_dir)
-    truth = [F.col(f"q{q}_gt") for q in range(1, 11)]
-    qs = a.select("hid", rp.questionnaire_score(truth, F.col("answers"), "psid").alias("score"))
+    qs = rp.questionnaire_scores(a, [f"q{q}_gt" for q in range(1, 11)], "answers", "psid").select("hid", "score")
     fit = responses(spark, sf_dir).select(F.col("rid").alias("hid"),
                                           rp.parse_fit_response(F.col("resp"))["fit_score"].alias("fit"))
     j = qs.join(fit, "hid")
