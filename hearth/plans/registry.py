@@ -32,4 +32,5 @@ def load_all() -> None:
         q_quota,
         q_text,
         q_refine,
+        q_sweep,
     )
