@@ -99,3 +99,50 @@ def cluster_persona_counts(df: DataFrame, personas: DataFrame, label: str = "clu
     return counts.join(p, "cluster", "left").select(
         "cluster", "n", F.coalesce("persona_id", F.lit(-1)).alias("persona_id"),
         F.coalesce("name", F.lit("Unknown")).alias("persona_name"))
+
+
+def unique_row_count(df: DataFrame, columns: Sequence[str], max_k: int | None = None) -> DataFrame:
+    """Distinct feature rows (doubles rounded to 6 places, text trimmed),
+    exact over all rows; optionally capped at ``max_k``."""
+    keys = []
+    for c in columns:
+        dt = df.schema[c].dataType.simpleString()
+        if dt in ("double", "float"):
+            keys.append(F.round(F.col(c), 6).alias(c))
+        elif dt in ("string",):
+            keys.append(F.trim(F.col(c)).alias(c))
+        else:
+            keys.append(F.col(c))
+    n = df.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n_unique"))
+    if max_k is not None:
+        n = n.withColumn("n_unique", F.least(F.col("n_unique"), F.lit(max_k)))
+    return n
+
+
+def histogram_by_cluster(df: DataFrame, features: Sequence[str], label: str = "cluster", bins: int = 20) -> DataFrame:
+    """``bins``-bin histogram per (cluster, feature) over that cluster's
+    own [min, max] (last bin closed; a constant feature falls in the middle
+    bin, as numpy does).  All bins are reported, empty ones with 0."""
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]
+    long = df.select(F.col(label).alias("cluster"), F.explode(F.array(*cells)).alias("c")) \
+        .select("cluster", "c.feature", "c.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    rng = long.groupBy("cluster", "feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    b = F.when(span == 0, F.lit(bins // 2)).otherwise(
+        F.least(F.floor((F.col("x") - F.col("lo")) / span * bins), F.lit(bins - 1))).cast("int")
+    counts = long.join(F.broadcast(rng), ["cluster", "feature"]).groupBy("cluster", "feature", b.alias("bin")) \
+        .agg(F.count(F.lit(1)).alias("n"))  # rng: clusters x features rows
+    grid = rng.select("cluster", "feature", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    edge = F.when(span == 0, F.col("lo") - 0.5 + F.col("bin") / bins).otherwise(F.col("lo") + span * F.col("bin") / bins)
+    return grid.join(counts, ["cluster", "feature", "bin"], "left").select(
+        "cluster", "feature", "bin", edge.alias("left_edge"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sample_distributions(sample: DataFrame, fields: Sequence[str], label: str = "cluster") -> DataFrame:
+    """Value counts of the demographic fields present in a household sample."""
+    present = [f for f in fields if f in sample.columns]
+    if not present:
+        return sample.sparkSession.createDataFrame([], "cluster int, field string, value string, n long")
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in present]
+    return sample.select(F.col(label).alias("cluster"), F.explode(F.array(*cells)).alias("c")) \
+        .select("cluster", "c.field", "c.value").groupBy("cluster", "field", "value").agg(F.count(F.lit(1)).alias("n"))

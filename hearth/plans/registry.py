@@ -33,4 +33,5 @@ def load_all() -> None:
         q_text,
         q_refine,
         q_sweep,
+        q_clean,
     )
