@@ -451,3 +451,31 @@ def mapping_provenance(state: DataFrame, persona_names: DataFrame, persona_fit:
     fits = F.broadcast(persona_fit.select("persona_id", F.col("fit_score").alias("persona_avg_fit")))
     return m.join(names, "persona_id", "left").join(fits, "persona_id", "left") \
         .withColumn("persona_name", F.coalesce("persona_name", F.lit("Unknown")))
+
+
+def outlier_group_stats(outliers: DataFrame, continuous: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """The single fallback group: mean of each numeric (coerced) and the
+    mode of each categorical with nulls read as 'Missing' (ties -> smallest)."""
+    aggs = [F.count(F.lit(1)).alias("n_samples")]
+    aggs += [F.avg(_num(F.col(c))).alias(f"{c}_mean") for c in continuous]
+    aggs += [F.mode(F.coalesce(F.col(c).cast("string"), F.lit("Missing")), True).alias(f"{c}_mode") for c in categorical]
+    return outliers.agg(*aggs).withColumn("percentage", F.lit(100.0))
+
+
+def new_persona_ids(sub_sizes: DataFrame, max_existing_id: int, slots: int) -> DataFrame:
+    """Sub-clusters by size desc (ties -> lower local id) get ids
+    max_existing + 1, + 2, ... while persona slots remain; cluster id = persona id."""
+    w = Window.orderBy(F.col("n").desc(), F.col("local_cluster"))  # one row per sub-cluster
+    r = sub_sizes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(0, slots))
+    return r.select("local_cluster", "n", (F.lit(max_existing_id) + F.col("_r")).cast("int").alias("persona_id"),
+                    (F.lit(max_existing_id) + F.col("_r")).cast("int").alias("cluster_id"))
+
+
+def tracker_snapshot(persona_state: DataFrame, state: DataFrame, total: int, alpha: float = ALPHA) -> DataFrame:
+    """Per persona fit, n, reward and current household count."""
+    counts = state.where(F.col("cluster") >= 0).groupBy(F.col("cluster").alias("persona_id")) \
+        .agg(F.count(F.lit(1)).alias("n_households"))
+    return persona_state.join(counts, "persona_id", "left").select(
+        "persona_id", "fit_score", "num_assigned",
+        ucb_reward(F.col("fit_score"), F.lit(total), F.col("num_assigned"), alpha).alias("reward"),
+        F.coalesce("n_households", F.lit(0)).alias("n_households"))

@@ -381,3 +381,51 @@ def q_a24(spark, sf_dir):
     p = _persona_table(spark, sf_dir).select(F.col("persona_id").alias("cluster_id"), "persona_id",
                                              F.col("persona_name").alias("name"))
     return cs.cluster_persona_counts(labeled(spark, sf_dir), p)
+
+
+@register("refine_loop")
+def q_refine_loop(spark, sf_dir):
+    """R10 (property-checked): households_labeled through the bulk-synchronous loop."""
+    from hearth.plans.refine_loop import fit_table_scorer, run_refinement
+    res = run_refinement(labeled(spark, sf_dir), NUM, CAT, fit_table_scorer(fit_expr), max_iterations=3,
+                         outlier_cap=500)
+    return res.mapping
+
+
+@register("tracker_snapshot", with_views(f"""
+SELECT p.persona_id, p.fit_score, p.num_assigned,
+       CASE WHEN p.num_assigned <= 0 THEN 'Infinity'::DOUBLE
+            ELSE p.fit_score + 0.2 * sqrt(ln(CAST((SELECT count(*) FROM labeled) AS DOUBLE)) / p.num_assigned) END AS reward,
+       coalesce(c.n, 0) AS n_households
+FROM pstate p LEFT JOIN (SELECT cluster, count(*) AS n FROM state WHERE cluster >= 0 GROUP BY cluster) c
+  ON c.cluster = p.persona_id""", "labeled", "state", extra=_PSTATE))
+def q_r11(spark, sf_dir):
+    total = labeled(spark, sf_dir).count()
+    return rf.tracker_snapshot(_pstate(spark, sf_dir), household_state(spark, sf_dir), total)
+
+
+@register("outlier_group_stats", q("""
+SELECT count(*) AS n_samples, """ + ", ".join(f"avg(TRY_CAST(l.{c} AS DOUBLE)) AS {c}_mean" for c in NUM) + ", "
+    + ", ".join(f"(SELECT v FROM (SELECT coalesce(CAST(l2.{c} AS VARCHAR), 'Missing') AS v, count(*) AS n FROM labeled l2 "
+                f"JOIN state s2 USING (hid) WHERE s2.status = 'problem' GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS {c}_mode"
+                for c in CAT) + """, 100.0::DOUBLE AS percentage
+FROM labeled l JOIN state s USING (hid) WHERE s.status = 'problem'"""))
+def q_a11(spark, sf_dir):
+    probs = household_state(spark, sf_dir).where(F.col("status") == rf.PROBLEM).select("hid")
+    return rf.outlier_group_stats(labeled(spark, sf_dir).join(probs, "hid"), NUM, CAT)
+
+
+@register("new_persona_ids", q("""
+SELECT local_cluster, n, CAST(7 + r AS INTEGER) AS persona_id, CAST(7 + r AS INTEGER) AS cluster_id FROM (
+  SELECT *, row_number() OVER (ORDER BY n DESC, local_cluster) AS r FROM (
+    SELECT CAST(CASE priority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3
+                ELSE 4 END AS INTEGER) AS local_cluster, count(*) AS n
+    FROM labeled l JOIN state s USING (hid) WHERE s.status = 'problem' GROUP BY 1))
+WHERE r <= 5"""))
+def q_w19(spark, sf_dir):
+    probs = household_state(spark, sf_dir).where(F.col("status") == rf.PROBLEM).select("hid")
+    sub = labeled(spark, sf_dir).join(probs, "hid")
+    code = F.coalesce(F.create_map(*[x for k, v in {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3}.items()
+                                     for x in (F.lit(k), F.lit(v))])[F.col("priority")], F.lit(4)).cast("int")
+    sizes = sub.groupBy(code.alias("local_cluster")).agg(F.count(F.lit(1)).alias("n"))
+    return rf.new_persona_ids(sizes, 7, 12 - 7)
