@@ -34,4 +34,5 @@ def load_all() -> None:
         q_refine,
         q_sweep,
         q_clean,
+        q_persona,
     )
