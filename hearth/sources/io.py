@@ -88,6 +88,14 @@ def survey_csv_scan(spark: SparkSession, path: str, encoding: str | None = None,
         r = r.option("encoding", "UTF-8" if encoding.lower() in ("utf-8-sig", "utf8-sig") else encoding)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     df = r.csv(path)
+    # Spark renames case-duplicate headers (a0, A1); check the raw header row (one row)
+    raw = spark.read.option("header", False).csv(path).limit(1).collect()
+    if raw:
+        names = [str(v).lstrip("\ufeff") for v in raw[0] if v is not None]
+        low = [n.lower() for n in names]
+        dups = sorted({n for n in names if low.count(n.lower()) > 1})
+        if dups:
+            raise ValueError(f"columns differ only by case: {dups}")
     first = df.columns[0] if df.columns else None
     if first and first.startswith("﻿"):
         df = df.withColumnRenamed(first, first.lstrip("﻿"))
