@@ -479,3 +479,67 @@ def tracker_snapshot(persona_state: DataFrame, state: DataFrame, total: int, alp
         "persona_id", "fit_score", "num_assigned",
         ucb_reward(F.col("fit_score"), F.lit(total), F.col("num_assigned"), alpha).alias("reward"),
         F.coalesce("n_households", F.lit(0)).alias("n_households"))
+
+
+def attach_field_metadata(stats_long: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Profile fields ``(cluster_id, field, metric, value)`` -> one row per
+    (cluster_id, field) with category, short label and description from the
+    field metadata ``(var_id, category, short_label, description, var_name)``
+    (missing -> ''); description whitespace-collapsed and cut to 237 + '...'
+    when longer than 240; metrics as a map.  Metadata is one row per field."""
+    m = metadata.select(F.col("var_id").alias("field"),
+                        F.coalesce(F.trim("category"), F.lit("")).alias("category"),
+                        F.coalesce(F.trim("short_label"), F.lit("")).alias("short_label"),
+                        F.trim(F.regexp_replace(F.coalesce(F.nullif(F.trim("description"), F.lit("")),
+                                                           F.trim("var_name"), F.lit("")), r"\s+", " ")).alias("_d"))
+    m = m.withColumn("description", F.when(F.length("_d") > 240, F.concat(F.substring("_d", 1, 237), F.lit("...")))
+                     .otherwise(F.col("_d"))).drop("_d")
+    per = stats_long.groupBy("cluster_id", "field").agg(F.map_from_entries(F.collect_list(
+        F.struct("metric", "value"))).alias("metrics"))
+    j = per.join(F.broadcast(m), "field", "left")
+    return j.select("cluster_id", "field", *[F.coalesce(F.col(c), F.lit("")).alias(c)
+                                            for c in ("category", "short_label", "description")], "metrics")
+
+
+def match_cluster_households(profiles: DataFrame, households: DataFrame, label: str = "cluster") -> DataFrame:
+    """Households of each profile row - numeric comparison when the labels
+    parse as numbers (and the profile id does), else text equality.
+    Returns ``(cluster_id, hid)``; profiles are one row per cluster (broadcast)."""
+    num_labels = households.select(F.max(F.col(label).cast("string").try_cast("double").isNotNull().cast("int"))
+                                   .alias("m")).collect()[0]["m"] == 1
+    p = F.broadcast(profiles.select("cluster_id"))
+    if num_labels:
+        h = households.select("hid", F.col(label).cast("string").try_cast("double").alias("_k"))
+        cond = F.col("cluster_id").cast("string").try_cast("double") == F.col("_k")
+    else:
+        h = households.select("hid", F.col(label).cast("string").alias("_k"))
+        cond = F.col("cluster_id").cast("string") == F.col("_k")
+    return h.join(p, cond).select("cluster_id", "hid")
+
+
+def supplementary_fields(values_long: DataFrame, metadata: DataFrame, used: Sequence[str] = (),
+                         max_fields: int = 10, per_category: int = 2, demographics_cap: int = 3) -> DataFrame:
+    """Per household, unused non-identifier fields with a non-null value,
+    demographics first then score (composite, else 10 * importance + usable / 10),
+    ties in metadata order; at most 2 per category (3 demographics), 10 in all.
+    ``values_long(hid, field, value)``; ``metadata(ord, var_id, category, label,
+    composite_score, importance_score, usable_percentage)`` one row per field."""
+    used_l = [u.lower() for u in used]
+    cat = F.lower(F.trim(F.coalesce(F.col("category"), F.lit(""))))
+    comp = F.coalesce(F.col("composite_score").try_cast("double"), F.lit(0.0))
+    alt = (F.coalesce(F.col("importance_score").try_cast("double"), F.lit(0.0)) * 10.0
+           + F.coalesce(F.col("usable_percentage").try_cast("double"), F.lit(0.0)) / 10.0)
+    meta = metadata.where(F.col("var_id").isNotNull() & (F.trim("var_id") != "")) \
+        .withColumn("field", F.trim("var_id")).where(~F.lower(F.col("field")).isin(used_l) if used_l else F.lit(True)) \
+        .withColumn("cat", cat).where(F.col("cat") != "identifier") \
+        .withColumn("score", F.when(comp > 0, comp).otherwise(alt)) \
+        .withColumn("is_demo", F.col("cat") == "demographics")
+    w = Window.orderBy(F.col("is_demo").desc(), F.col("score").desc(), "ord")  # one row per field
+    ranked = meta.withColumn("rank", F.row_number().over(w)).select(
+        "field", "rank", F.when(F.col("cat") == "", "unknown").otherwise(F.col("cat")).alias("cat"), "label")
+    j = values_long.where(F.col("value").isNotNull()).join(F.broadcast(ranked), "field")
+    wc = Window.partitionBy("hid", "cat").orderBy("rank")
+    j = j.withColumn("_c", F.row_number().over(wc)).where(
+        F.col("_c") <= F.when(F.col("cat") == "demographics", demographics_cap).otherwise(per_category))
+    wh = Window.partitionBy("hid").orderBy("rank")
+    return j.withColumn("pos", F.row_number().over(wh)).where(F.col("pos") <= max_fields).drop("_c")

@@ -98,3 +98,127 @@ def q_t18(spark, sf_dir):
     t = pt.tag_persona(_profiles(spark, sf_dir), "psid")
     return t.select("cluster_id", "dataset", "persona_id", F.col("source.dataset").alias("source_dataset"),
                     F.col("source.n_samples").alias("source_n_samples"))
+
+
+# ---------------------------------------------------------------- J2, J3, W18, C12, C13
+
+from hearth.operators import refine as rf  # noqa: E402
+from hearth.operators import quota as qo  # noqa: E402
+from hearth.plans.q_quota import CTES as QCTES  # noqa: E402
+from hearth.sources.tables import table  # noqa: E402
+
+
+def _doc_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("var_id", F.concat(F.lit("v"), (F.col("doc_id") % 700).cast("string")))
+    g = d.groupBy(F.col("source").alias("cluster_id"), F.col("var_id").alias("field")).agg(
+        F.avg("n_chars").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return g.select("cluster_id", "field", F.explode(F.array(
+        F.struct(F.lit("mean").alias("metric"), F.format_string("%.1f", F.col("mean")).alias("value")),
+        F.struct(F.lit("n").alias("metric"), F.col("n").cast("string").alias("value")))).alias("m")).select(
+        "cluster_id", "field", "m.metric", "m.value")
+
+
+@register("attach_field_metadata", with_views("""
+SELECT s.cluster_id, s.field, coalesce(trim(w.category), '') AS category, coalesce(trim(w.short_label), '') AS short_label,
+       coalesce(CASE WHEN length(d0) > 240 THEN substr(d0, 1, 237) || '...' ELSE d0 END, '') AS description,
+       s.n AS n_metric
+FROM (SELECT source AS cluster_id, 'v' || CAST(doc_id % 700 AS VARCHAR) AS field, count(*) AS n
+      FROM documents GROUP BY ALL) s
+LEFT JOIN (SELECT *, trim(regexp_replace(coalesce(nullif(trim(description), ''), trim(var_name), ''), '\\s+', ' ', 'g')) AS d0
+           FROM w1) w ON w.var_id = s.field""", "candidates", "codebook", extra=QCTES))
+def q_j2(spark, sf_dir):
+    meta = qo.dedupe_first(qo.drop_unscored(candidates(spark, sf_dir)))
+    out = rf.attach_field_metadata(_doc_stats(spark, sf_dir), meta)
+    return out.select("cluster_id", "field", "category", "short_label", "description",
+                      F.col("metrics")["n"].cast("long").alias("n_metric"))
+
+
+@register("match_cluster_households", with_views("""
+SELECT p.cluster_id, count(*) AS n FROM (SELECT DISTINCT cluster AS cluster_id FROM labeled WHERE cluster <> -1) p
+JOIN labeled l ON TRY_CAST(CAST(l.cluster AS VARCHAR) AS DOUBLE) = TRY_CAST(CAST(p.cluster_id AS VARCHAR) AS DOUBLE)
+GROUP BY p.cluster_id""", "labeled"))
+def q_j3(spark, sf_dir):
+    lab = labeled(spark, sf_dir)
+    m = rf.match_cluster_households(_profiles(spark, sf_dir), lab)
+    return m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _supp_meta(prof):
+    """Field metadata derived from the column profile of households."""
+    from pyspark.sql import Window
+    return prof.select(
+        "ord", F.col("field_name").alias("var_id"),
+        F.when(F.col("field_type") == "categorical", "demographics").when(F.col("field_type") == "binary", "identifier")
+        .otherwise("income").alias("category"),
+        F.upper(F.col("field_name")).alias("label"),
+        F.when(F.col("field_type") == "continuous", F.col("quality_score") * 10).otherwise(F.lit(0.0))
+        .cast("string").alias("composite_score"),
+        F.col("n_unique").cast("string").alias("importance_score"),
+        (F.col("completeness") * 100).cast("string").alias("usable_percentage"))
+
+
+def _w18_sql() -> str:
+    from hearth.plans.sqlgen import HOUSEHOLD_SCHEMA, build, profile_ctes
+    cols = [c for c, _ in HOUSEHOLD_SCHEMA if c not in ("hid", "o_custkey")]
+    vals = " UNION ALL ".join(f"SELECT hid, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM households" for c in cols)
+    meta = """SELECT ord, field_name AS var_id,
+        CASE WHEN field_type = 'categorical' THEN 'demographics' WHEN field_type = 'binary' THEN 'identifier' ELSE 'income' END AS cat,
+        upper(field_name) AS label,
+        CASE WHEN field_type = 'continuous' THEN quality_score * 10 ELSE 0.0 END AS comp,
+        CAST(n_unique AS DOUBLE) * 10.0 + completeness * 100 / 10.0 AS alt FROM p_prof"""
+    ranked = """SELECT var_id AS field, label, cat, row_number() OVER (ORDER BY cat = 'demographics' DESC,
+                CASE WHEN comp > 0 THEN comp ELSE alt END DESC, ord) AS rank FROM meta
+                WHERE lower(var_id) NOT IN ('total') AND cat <> 'identifier'"""
+    body = """SELECT hid, CAST(pos AS INTEGER) AS pos, field, label, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY hid ORDER BY rank) AS pos FROM (
+        SELECT v.hid, v.field, v.value, r.label, r.rank, r.cat,
+               row_number() OVER (PARTITION BY v.hid, r.cat ORDER BY r.rank) AS c
+        FROM vals v JOIN ranked r USING (field) WHERE v.value IS NOT NULL)
+      WHERE c <= CASE WHEN cat = 'demographics' THEN 3 ELSE 2 END) WHERE pos <= 10"""
+    return build(profile_ctes("households", HOUSEHOLD_SCHEMA) + [("vals", vals), ("meta", meta), ("ranked", ranked)], body)
+
+
+@register("supplementary_fields", _w18_sql())
+def q_w18(spark, sf_dir):
+    from hearth.operators import profile as pf
+    h = households(spark, sf_dir)
+    meta = _supp_meta(pf.field_profile(h))
+    long = h.select("hid", *[c for c in h.columns if c not in ("hid", "o_custkey")]).select(
+        "hid", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
+                                   for c in h.columns if c not in ("hid", "o_custkey")])).alias("c")).select("hid", "c.*")
+    return rf.supplementary_fields(long, meta, used=["total"]).select(
+        "hid", F.col("pos").cast("int").alias("pos"), "field", "label", "value")
+
+
+@register("k_sweep_kmodes")
+def q_c12(spark, sf_dir):
+    """Cost-only k-modes sweep (k = 2..6) and its elbow (property-checked)."""
+    from hearth.operators import kprototypes as kp
+    from hearth.operators import kselect as ks
+    from hearth.plans.q_kproto import features
+    cat = ["status", "priority", "ret_status"]
+    f = features(spark, sf_dir, [], cat).persist()
+    rows = []
+    for k in range(2, 7):
+        res = kp.fit(f, [], cat, k, n_init=2, max_iter=15)
+        rows.append((k, float(res.cost)))
+    f.unpersist()
+    kt = spark.createDataFrame(rows, "k int, cost double")
+    e = ks.elbow(kt).collect()[0]["elbow_k"]
+    return kt.withColumn("elbow_k", F.lit(e))
+
+
+@register("pca_2d")
+def q_c13(spark, sf_dir):
+    """Two principal components of the z-scored numerics (signs arbitrary)."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from hearth.plans.q_kproto import features
+    num = ["total", "qty_avg", "disc_avg"]
+    f = features(spark, sf_dir, num, [])
+    v = VectorAssembler(inputCols=num, outputCol="x").transform(f)
+    model = PCA(k=2, inputCol="x", outputCol="pc").fit(v)
+    ev = [float(x) for x in model.explainedVariance]
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(v).select("hid", vector_to_array("pc").alias("a"))
+    return out.select("hid", F.col("a")[0].alias("pc1"), F.col("a")[1].alias("pc2"),
+                      F.lit(ev[0]).alias("explained_1"), F.lit(ev[1]).alias("explained_2"))
