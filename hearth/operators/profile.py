@@ -48,11 +48,12 @@ def _field_summary(vc: DataFrame) -> DataFrame:
     return summ.join(ent, "field", "left")
 
 
-def _numeric_moments(long: DataFrame) -> DataFrame:
+def _numeric_moments(long: DataFrame, vc: DataFrame) -> DataFrame:
     num = long.where(F.col("is_num") & F.col("x").isNotNull())
     mom = num.groupBy("field").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-    qs = quantiles(num.groupBy("field", "x").agg(F.count(F.lit(1)).alias("w")),
-                   ["field"], "x", [0.25, 0.5, 0.75], weight="w")
+    # quantiles reuse the value-count table (distinct values with multiplicities)
+    qs = quantiles(vc.where(F.col("is_num") & F.col("x").isNotNull()), ["field"], "x", [0.25, 0.5, 0.75],
+                   weight="cnt")
     return mom.join(qs, "field", "left")
 
 
@@ -69,7 +70,7 @@ def field_profile(df: DataFrame, columns: Sequence[str] | None = None,
     long = melt(df, columns)
     vc = value_counts(long)
     summ = _field_summary(vc)
-    mom = _numeric_moments(long)
+    mom = _numeric_moments(long, vc)
     j = summ.join(mom, "field", "left")
     nu = F.col("n_unique")
     ftype = (F.when(nu <= 1, "constant").when(nu == 2, "binary")

@@ -17,12 +17,36 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 
 
+_DERIVED: dict = {}
+
+
+def _materialized(name: str):
+    """Derived views are read by several jobs of one query (profiles, rules,
+    medians, fits ...): persist them once per session and path instead of
+    recomputing the join/aggregation per job.  MEMORY_AND_DISK spills; a lost
+    executor recomputes its blocks from lineage."""
+    def deco(fn):
+        def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (id(spark._jsparkSession), sf_dir, name)
+            df = _DERIVED.get(key)
+            if df is None:
+                from pyspark import StorageLevel
+                df = fn(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+                _DERIVED[key] = df
+            return df
+        wrapper.__doc__ = fn.__doc__
+        wrapper.__name__ = fn.__name__
+        return wrapper
+    return deco
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@_materialized("households")
 def households(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with derived, partly-missing household features.
 
@@ -157,6 +181,7 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.col("n_chars").cast("string"), F.lit(" chars")).alias("availability"))
 
 
+@_materialized("labeled")
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """households_labeled after the small-cluster rule (noise = -1)."""
     from hearth.operators.cluster_stats import filter_small_clusters
