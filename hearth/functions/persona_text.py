@@ -101,3 +101,61 @@ def tag_persona(personas: DataFrame, dataset: str | None, id_col: str = "cluster
     return personas.withColumn("dataset", keep("dataset", F.lit(ds))) \
         .withColumn("persona_id", keep("persona_id", pid).cast("string")) \
         .withColumn("source", src)
+
+
+def _fmt_series(spec: str):
+    def f(s):
+        return s.map(lambda v: "N/A" if v is None or v != v or v in (float("inf"), float("-inf")) else format(v, spec))
+    return f
+
+
+def py_format(x: Column, spec: str) -> Column:
+    """Python ``format(x, spec)`` (exact-binary rounding, '%g' zero stripping) as
+    an Arrow-batched Pandas UDF; null / NaN / inf -> 'N/A'."""
+    return F.pandas_udf(_fmt_series(spec), "string")(x.cast("double"))
+
+
+def profile_text(stats_long: DataFrame, sizes: DataFrame, max_modes: int = 18, max_cont: int = 10) -> DataFrame:
+    """One summary text per cluster: size, share, up to ``max_modes``
+    mode lines and ``max_cont`` numeric lines (mean / std), numbers as
+    ``%.4g``.  ``stats_long(cluster_id, field, metric, num, txt, ord)`` (T9 form
+    with the numeric value kept), ``sizes(cluster_id, n_samples, percentage)``."""
+    s = stats_long.withColumn("fmt", F.when(F.col("metric") == "mode", F.coalesce(F.col("txt"), F.lit("N/A")))
+                              .otherwise(py_format(F.col("num"), ".4g")))
+    modes = s.where(F.col("metric") == "mode").select(
+        "cluster_id", "ord", F.concat(F.lit("- "), F.col("field"), F.lit(": mode="), F.col("fmt")).alias("line"))
+    nums = s.where(F.col("metric").isin("mean", "std", "median")).groupBy("cluster_id", "field", "ord").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "fmt"))).alias("m"))
+    parts = F.concat_ws(", ", *[F.when(F.col("m")[k].isNotNull(), F.concat(F.lit(f"{k}="), F.col("m")[k]))
+                                for k in ("mean", "std", "median")])
+    nums = nums.select("cluster_id", "ord", F.concat(F.lit("- "), F.col("field"), F.lit(": "), parts).alias("line"))
+
+    def block(df, k, title):
+        w = df.groupBy("cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "line"))), 1, k).alias("l"))
+        return w.select("cluster_id", F.concat(F.lit(title + "\n"), F.array_join(F.transform("l", lambda e: e["line"]), "\n"))
+                        .alias(title.split()[0].lower()))
+    mb = block(modes, max_modes, "Modes of categorical fields:")
+    nb = block(nums, max_cont, "Numeric fields:")
+    head = sizes.select("cluster_id", F.concat(F.lit("Cluster size: "), F.col("n_samples").cast("string"), F.lit("\nShare: "),
+                                               py_format(F.col("percentage"), ".1f"), F.lit("%")).alias("head"))
+    j = head.join(mb, "cluster_id", "left").join(nb, "cluster_id", "left")
+    return j.select("cluster_id", F.concat_ws("\n\n", "head", "modes", "numeric").alias("profile_text"))
+
+
+def field_dictionary(fields: DataFrame, metadata: DataFrame, max_fields: int = 25) -> DataFrame:
+    """Up to ``max_fields`` distinct profile fields with metadata lines
+    ``- field [category]: short — description``; fields without description and
+    category are skipped.  ``fields(field, ord)`` is one row per profile field."""
+    m = metadata.select(F.col("var_id").alias("field"), F.trim(F.coalesce("category", F.lit(""))).alias("cat"),
+                        F.trim(F.coalesce("short_label", F.lit(""))).alias("short"),
+                        F.trim(F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.col("var_name"), F.lit(""))).alias("desc"))
+    j = fields.join(F.broadcast(m), "field").where((F.col("desc") != "") | (F.col("cat") != ""))
+    shown = F.when(F.col("short") != "", F.col("short")).otherwise(F.col("desc"))
+    line = F.concat(F.lit("- "), F.col("field"),
+                    F.when(F.col("cat") != "", F.concat(F.lit(" ["), F.col("cat"), F.lit("]"))).otherwise(F.lit("")),
+                    F.when(shown != "", F.concat(F.lit(": "), shown)).otherwise(F.lit("")),
+                    F.when((F.col("short") != "") & (F.col("desc") != "") & (F.lower("short") != F.lower("desc")),
+                           F.concat(F.lit(" — "), F.col("desc"))).otherwise(F.lit("")))
+    lines = j.select("ord", line.alias("line"))
+    return lines.agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "line"))), 1, max_fields),
+                                              lambda e: e["line"]), "\n").alias("dictionary"))

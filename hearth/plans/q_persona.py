@@ -222,3 +222,71 @@ def q_c13(spark, sf_dir):
     out = model.transform(v).select("hid", vector_to_array("pc").alias("a"))
     return out.select("hid", F.col("a")[0].alias("pc1"), F.col("a")[1].alias("pc2"),
                       F.lit(ev[0]).alias("explained_1"), F.lit(ev[1]).alias("explained_2"))
+
+
+def _stats_long(prof):
+    cells, ordmap = [], {}
+    for c in prof.columns:
+        for m in ("mean", "std", "median", "mode"):
+            if c.endswith("_" + m):
+                base = c[: -len(m) - 1]
+                ordmap.setdefault(base, len(ordmap))
+                num = F.col(c).cast("double") if m != "mode" else F.lit(None).cast("double")
+                cells.append(F.struct(F.lit(base).alias("field"), F.lit(m).alias("metric"), num.alias("num"),
+                                      F.col(c).cast("string").alias("txt"), F.lit(ordmap[base]).alias("ord")))
+                break
+    return prof.select("cluster_id", F.explode(F.array(*cells)).alias("s")).select("cluster_id", "s.*")
+
+
+def _t23_sql() -> str:
+    lines = []
+    order = {}
+    for f in HOUSEHOLD_CONTINUOUS:
+        order.setdefault(f, len(order))
+    for f in HOUSEHOLD_CATEGORICAL:
+        order.setdefault(f, len(order))
+    modes = " UNION ALL ".join(f"SELECT cluster_id, {order[f]} AS ord, '- {f}: mode=' || coalesce(CAST({f}_mode AS VARCHAR), 'N/A') AS line FROM prof"
+                               for f in HOUSEHOLD_CATEGORICAL)
+    def g(x):
+        return f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 'N/A' ELSE printf('%.4g', {x}) END"
+    nums = " UNION ALL ".join(f"SELECT cluster_id, {order[f]} AS ord, '- {f}: mean=' || {g(f + '_mean')} || ', std=' || {g(f + '_std')} AS line FROM prof"
+                              for f in HOUSEHOLD_CONTINUOUS)
+    return f"""
+SELECT p.cluster_id, concat_ws(chr(10) || chr(10),
+    'Cluster size: ' || CAST(p.n_samples AS VARCHAR) || chr(10) || 'Share: ' || printf('%.1f', p.percentage) || '%',
+    'Modes of categorical fields:' || chr(10) || m.t, 'Numeric fields:' || chr(10) || n.t) AS profile_text
+FROM prof p
+LEFT JOIN (SELECT cluster_id, string_agg(line, chr(10) ORDER BY ord) AS t FROM (SELECT * FROM ({modes}) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY ord) <= 18) GROUP BY cluster_id) m USING (cluster_id)
+LEFT JOIN (SELECT cluster_id, string_agg(line, chr(10) ORDER BY ord) AS t FROM (SELECT * FROM ({nums}) QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY ord) <= 10) GROUP BY cluster_id) n USING (cluster_id)"""
+
+
+@register("profile_text", with_views(_t23_sql(), "labeled", extra=_PROF))
+def q_t23(spark, sf_dir):
+    prof = _profiles(spark, sf_dir)
+    return pt.profile_text(_stats_long(prof), prof.select("cluster_id", "n_samples", "percentage"))
+
+
+@register("persona_prompt_table")
+def q_t24(spark, sf_dir):
+    """One prompt row per cluster: profile text (T23), the sample value
+    distributions (A17 over a 50-household sample, W13) and the field
+    dictionary (T22, metadata from the household column profile)."""
+    from hearth.operators import profile as pf
+    from hearth.operators import refine as rfo
+    prof = _profiles(spark, sf_dir)
+    text = pt.profile_text(_stats_long(prof), prof.select("cluster_id", "n_samples", "percentage"))
+    samp = rfo.per_cluster_sample(labeled(spark, sf_dir).where(F.col("cluster") != -1), 50, 42)
+    dist = cs.sample_distributions(samp, ["status", "priority"]).withColumnRenamed("cluster", "cluster_id")
+    dist_txt = dist.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("field", "value", "n"))), lambda e: F.concat(F.lit("- "), e["field"], F.lit("="), e["value"], F.lit(": "),
+                                                              e["n"].cast("string"))), "\n").alias("sample_text"))
+    meta = pf.field_profile(households(spark, sf_dir)).select(
+        F.col("field_name").alias("var_id"), F.col("field_type").alias("category"),
+        F.upper("field_name").alias("short_label"), F.lit("").alias("description"), F.col("field_name").alias("var_name"))
+    fields = _stats_long(prof).select("field", "ord").distinct()
+    dic = pt.field_dictionary(fields, meta)
+    j = text.join(dist_txt, "cluster_id", "left")
+    d = dic.collect()[0]["dictionary"]  # one row (bounded by 25 lines)
+    return j.select("cluster_id", F.concat_ws("\n\n", "profile_text",
+                                              F.concat(F.lit("Sample households:\n"), F.col("sample_text")),
+                                              F.concat(F.lit("Field dictionary:\n"), F.lit(d or ""))).alias("prompt"))
