@@ -184,3 +184,42 @@ def questionnaire_scores(df, truth_cols: list[str], answers_col: str, dataset: s
     score = (F.when(usable == 0, F.lit(1.0)).when(~F.col("_obj"), F.greatest(F.lit(0.5), missing / 10.0))
              .otherwise((missing + correct) / 10.0))
     return d.withColumn(out, score).drop("_m", "_obj", *[f"_p{i}" for i in range(1, len(truth_cols) + 1)])
+
+
+PERSONA_LIST_KEYS = ["behavior_patterns", "pain_points", "opportunities"]
+
+
+def parse_persona_response(text: Column) -> Column:
+    """struct(persona_name, core_characteristics, behavior_patterns,
+    pain_points, opportunities, decision_making_logic, behavioral_drivers,
+    parse_error).  Whole text first, else the first balanced object/array
+    (T14 scanner, correct escapes - D16); the root must be an object.  Base
+    keys default to '' / []; decision_making_logic and behavioral_drivers are
+    forced to objects (JSON text).  On failure: 'Unnamed Group', the first 200
+    characters as core characteristics, empty lists, parse_error."""
+    t = _ws_trim(F.coalesce(text, F.lit("")))
+    v = F.coalesce(F.try_parse_json(t), F.try_parse_json(balanced_json_or_array(t)))
+    is_obj = F.coalesce(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+    def obj_json(key: str) -> Column:
+        sub = F.try_variant_get(v, f"$.{key}", "variant")
+        ok = sub.isNotNull() & F.schema_of_variant(sub).startswith("OBJECT")
+        return F.when(ok, F.to_json(sub)).otherwise(F.lit("{}"))
+
+    def str_list(key: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, f"$.{key}", "array<string>"), F.array().cast("array<string>"))
+
+    ok = F.struct(
+        F.coalesce(F.try_variant_get(v, "$.persona_name", "string"), F.lit("")).alias("persona_name"),
+        F.coalesce(F.try_variant_get(v, "$.core_characteristics", "string"), F.lit("")).alias("core_characteristics"),
+        *[str_list(k).alias(k) for k in PERSONA_LIST_KEYS],
+        obj_json("decision_making_logic").alias("decision_making_logic"),
+        obj_json("behavioral_drivers").alias("behavioral_drivers"),
+        F.lit(False).alias("parse_error"))
+    bad = F.struct(
+        F.lit("Unnamed Group").alias("persona_name"),
+        F.substring(F.coalesce(text, F.lit("")), 1, 200).alias("core_characteristics"),
+        *[F.array().cast("array<string>").alias(k) for k in PERSONA_LIST_KEYS],
+        F.lit("{}").alias("decision_making_logic"), F.lit("{}").alias("behavioral_drivers"),
+        F.lit(True).alias("parse_error"))
+    return F.when(is_obj, ok).otherwise(bad)

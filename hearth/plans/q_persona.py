@@ -290,3 +290,21 @@ def q_t24(spark, sf_dir):
     return j.select("cluster_id", F.concat_ws("\n\n", "profile_text",
                                               F.concat(F.lit("Sample households:\n"), F.col("sample_text")),
                                               F.concat(F.lit("Field dictionary:\n"), F.lit(d or ""))).alias("prompt"))
+
+
+@register("parse_persona_response")
+def q_t15(spark, sf_dir):
+    """T15 (golden-tested): persona responses in four shapes built from each
+    cluster profile (bare JSON, fenced, embedded in prose, truncated)."""
+    from hearth.functions import responses as rp
+    prof = _profiles(spark, sf_dir)
+    body = F.concat(F.lit('{"persona_name": "Group '), F.col("cluster_id").cast("string"),
+                    F.lit('", "core_characteristics": "modal status '), F.coalesce(F.col("status_mode"), F.lit("?")),
+                    F.lit('", "behavior_patterns": ["p1", "p2"], "decision_making_logic": "not an object"}'))
+    k = F.col("cluster_id") % 4
+    resp = (F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+            .when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" thanks"))).otherwise(F.substring(body, 1, 30)))
+    parsed = prof.select("cluster_id", rp.parse_persona_response(resp).alias("p"))
+    return pt.tag_persona(parsed.select("cluster_id", "p.*"), "psid").select(
+        "cluster_id", "persona_id", "persona_name", "core_characteristics", "behavior_patterns",
+        "decision_making_logic", "parse_error")

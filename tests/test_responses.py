@@ -87,3 +87,21 @@ def test_questionnaire_score(spark):
     assert abs(out[1] - 0.9) < 1e-12
     assert abs(out[2] - 0.5) < 1e-12
     assert out[3] == 1.0
+
+
+def test_parse_persona_response(spark):
+    rows = [
+        ('{"persona_name": "A", "behavior_patterns": ["x"], "decision_making_logic": [1]}', "A", False),
+        ('Sure!\n```json\n{"persona_name": "B", "note": "say \\"}\\""}\n```', "B", False),
+        ('prefix {"persona_name": "C"} suffix', "C", False),
+        ('[{"persona_name": "D"}]', "Unnamed Group", True),
+        ('{"persona_name": "E", "core', "Unnamed Group", True),
+        ("", "Unnamed Group", True),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
+    out = {r.i: r for r in df.select("i", rp.parse_persona_response(F.col("t")).alias("p")).select("i", "p.*").collect()}
+    for i, (text, name, err) in enumerate(rows):
+        assert out[i].persona_name == name, text
+        assert out[i].parse_error == err
+    assert out[0].behavior_patterns == ["x"] and out[0].decision_making_logic == "{}"
+    assert out[1].pain_points == [] and out[4].core_characteristics == rows[4][0][:200]
