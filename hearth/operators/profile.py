@@ -254,3 +254,66 @@ def selection_statistics(selection: DataFrame) -> DataFrame:
     return selection.agg(F.count(F.lit(1)).alias("total"),
                          F.count(F.when(F.col("type") == "continuous", 1)).alias("n_continuous"),
                          F.count(F.when(F.col("type") == "categorical", 1)).alias("n_categorical"))
+
+
+# ---------------------------------------------------------------- W11, W12
+
+def reuse_selection(df: DataFrame, saved: list, excluded_patterns: Sequence[str] = (),
+                    force_include: Sequence[str] = (), cap: int = MAX_SELECTED_FIELDS) -> list[dict] | None:
+    """Re-apply a saved selection to a (new) table.  Entries are names or
+    ``{field_name|name|var_id|var_name, type}``; missing or excluded columns are
+    dropped, a missing type comes from the column type (numeric -> continuous,
+    else categorical), forced columns are appended, first occurrence kept, at
+    most ``cap``.  Works on ``df.dtypes`` (schema only).  Nothing usable -> None."""
+    types = dict(df.dtypes)
+    numeric = {f.name for f in df.schema.fields if is_numeric_type(f.dataType)}
+    out, seen = [], set()
+
+    def add(name, typ):
+        if name in seen or name not in types:
+            return
+        if _matches_any(name, excluded_patterns) and name not in force_include:
+            return
+        t = (typ or "").lower()
+        if t not in ("continuous", "categorical"):
+            t = "continuous" if name in numeric else "categorical"
+        seen.add(name)
+        out.append({"field_name": name, "type": t})
+
+    for item in saved or []:
+        if isinstance(item, str):
+            add(item.strip(), None)
+        elif isinstance(item, dict):
+            name = next((str(item[k]).strip() for k in ("field_name", "name", "var_id", "var_name")
+                         if item.get(k) and str(item[k]).strip()), None)
+            if name:
+                add(name, item.get("type"))
+    for f in force_include:
+        add(f, None)
+    out = out[:cap]
+    return out or None
+
+
+def recluster_fields(df: DataFrame, saved: list | None = None, max_numeric: int = 20,
+                     max_categorical: int = 30) -> tuple[list[str], list[str]]:
+    """The saved selection's fields present in the table, else numeric
+    columns (first 20) and non-numeric columns with 2..20 levels (first 30),
+    excluding ``cluster`` and ``q1_`` .. ``q10_`` columns.  The level counts are
+    one ``approx``-free ``countDistinct`` aggregation over the candidate columns."""
+    if saved:
+        cont = [s["field_name"] for s in saved if isinstance(s, dict) and s.get("field_name") in df.columns
+                and str(s.get("type", "")).lower() == "continuous"]
+        cat = [s["field_name"] for s in saved if isinstance(s, dict) and s.get("field_name") in df.columns
+               and str(s.get("type", "")).lower() != "continuous"]
+        if cont or cat:
+            return cont, cat
+    blocked = tuple(f"q{i}_" for i in range(1, 11))
+    cands = [c for c in df.columns if c != "cluster" and not c.startswith(blocked)]
+    numeric = {f.name for f in df.schema.fields if is_numeric_type(f.dataType)}
+    num = [c for c in cands if c in numeric]
+    obj = [c for c in cands if c not in numeric]
+    cat = []
+    if obj:
+        counts = df.agg(*[F.countDistinct(c).alias(c) for c in obj]).collect()[0]
+        cat = [c for c in obj if 2 <= counts[c] <= 20]
+    return num[:max_numeric], cat[:max_categorical]

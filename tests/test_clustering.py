@@ -67,3 +67,19 @@ def test_structural_rule_planted(spark):
     out = imp.impute(df, ["amount"], [], rules, keep=["hid", "gate"])
     assert out.where("gate = 'no' AND amount <> 0.0").count() == 0
     assert out.where("amount IS NULL").count() == 0
+
+
+def test_reuse_selection_and_recluster_fields(spark):
+    from hearth.operators import profile as pf
+    df = spark.createDataFrame([(1, 2.0, "a", "x", 0, "A"), (2, 3.0, "b", "y", 1, "B"), (3, 4.0, "a", "z", 0, "C")],
+                               "hid long, income double, grp string, note string, cluster int, q1_gt string")
+    sel = pf.reuse_selection(df, ["income", {"name": "grp"}, {"var_id": "missing"}, "income", {"field_name": "note",
+                                                                                               "type": "continuous"}],
+                             excluded_patterns=[r"^note$"], force_include=["hid"])
+    assert sel == [{"field_name": "income", "type": "continuous"}, {"field_name": "grp", "type": "categorical"},
+                   {"field_name": "hid", "type": "continuous"}]
+    assert pf.reuse_selection(df, ["nope"]) is None
+    num, cat = pf.recluster_fields(df)
+    assert num == ["hid", "income"] and cat == ["grp", "note"]
+    num2, cat2 = pf.recluster_fields(df, [{"field_name": "income", "type": "continuous"}, {"field_name": "zz"}])
+    assert num2 == ["income"] and cat2 == []
