@@ -159,3 +159,41 @@ def field_dictionary(fields: DataFrame, metadata: DataFrame, max_fields: int = 2
     lines = j.select("ord", line.alias("line"))
     return lines.agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "line"))), 1, max_fields),
                                               lambda e: e["line"]), "\n").alias("dictionary"))
+
+
+# Name keywords that reveal a field category (lower-case substring match)
+CATEGORY_KEYWORDS = {
+    "demographics": ["age", "sex", "gender", "marit", "race", "ethnic", "hhsize", "family", "child"],
+    "income": ["income", "inc", "earn", "wage", "salary", "poverty"],
+    "consumption": ["share", "consumption", "spending"],
+    "education_investment": ["education", "student_debt", "tuition"],
+    "assets": ["wealth", "asset", "stock", "property"],
+    "debt": ["debt", "mortgage", "loan"],
+    "employment_behavior": ["employ", "job", "work", "occupation"],
+    "financial_behavior": ["risk", "savings", "budget", "planning", "invest", "financial_health"],
+    "housing_behavior": ["housing", "house", "home", "rent"],
+    "health_behavior": ["health", "medical", "insurance"],
+    "time_use_lifestyle": ["work_hours", "commute", "leisure"],
+    "attitudes_expectations": ["satisfaction", "expectation", "attitude"],
+    "program_participation": ["snap", "medicaid", "medicare", "ssi", "tanf", "wic", "unemployment", "program", "benefit"],
+}
+
+
+def detect_categories(fields: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """Categories present among ``fields(field)`` (profile keys and sample
+    columns): metadata categories of the base names (``_mean/_median/_mode``
+    stripped, not ``_std``) plus name-keyword rules.  The keyword table is a
+    small fixed dimension (broadcast); returns distinct ``category`` rows."""
+    spark = fields.sparkSession
+    kw = spark.createDataFrame([(c, t) for c, toks in CATEGORY_KEYWORDS.items() for t in toks],
+                               "category string, token string")
+    f = fields.select(F.col("field").cast("string").alias("field"))
+    by_kw = f.join(F.broadcast(kw), F.contains(F.lower(F.col("field")), F.col("token"))).select("category")
+    out = by_kw
+    if metadata is not None:
+        base = F.regexp_replace(F.col("field"), r"_(mean|median|mode)$", "")
+        meta = metadata.select(F.col("var_id").alias("base"), F.col("category").alias("mcat"))
+        by_meta = f.select(base.alias("base")).join(F.broadcast(meta), "base") \
+            .where(F.col("mcat").isNotNull() & (F.col("mcat") != "")).select(F.col("mcat").alias("category"))
+        out = out.unionByName(by_meta)
+    return out.distinct()

@@ -39,3 +39,12 @@ def test_pack_chunks(spark):
     assert [got[("h", i)] for i in range(3)] == [30, 30, 5]
     text = {(r.grp, r.chunk_id): r.text for r in out.collect()}
     assert text[("g", 0)] == "x" * 4000 + "\n" + "x" * 4000
+
+
+def test_detect_categories(spark):
+    from hearth.functions import persona_text as pt
+    fields = spark.createDataFrame([("head_age_mean",), ("x12_mode",), ("x9_std",), ("mortgage_amt_mean",)], "field string")
+    meta = spark.createDataFrame([("x12", "income"), ("x9", "assets")], "var_id string, category string")
+    got = {r.category for r in pt.detect_categories(fields, meta).collect()}
+    # x9_std keeps its suffix, so no metadata hit for x9; 'head_age' -> demographics, mortgage -> debt
+    assert got == {"demographics", "income", "debt"}
