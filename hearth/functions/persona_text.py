@@ -197,3 +197,63 @@ def detect_categories(fields: DataFrame, metadata: DataFrame | None = None) -> D
             .where(F.col("mcat").isNotNull() & (F.col("mcat") != "")).select(F.col("mcat").alias("category"))
         out = out.unionByName(by_meta)
     return out.distinct()
+
+
+def fit_prompt_table(pairs: DataFrame, values_long: DataFrame, persona_stats_long: DataFrame,
+                     supplementary: DataFrame | None = None, max_lines: int = 200) -> DataFrame:
+    """One prompt text per (household, persona) pair: for every persona
+    statistic whose field the household has, an aligned line
+    ``- field: household=<value>, persona=<mean/std or mode>`` (field order of
+    the profile, at most ``max_lines``), then the household's supplementary
+    fields (W18).  ``values_long(hid, field, value)``; ``persona_stats_long
+    (persona_id, field, metric, num, txt, ord)`` is bounded (personas x fields)
+    and broadcast."""
+    ps = persona_stats_long.withColumn("fmt", F.when(F.col("metric") == "mode", F.coalesce("txt", F.lit("N/A")))
+                                       .otherwise(py_format(F.col("num"), ".4g")))
+    per = ps.groupBy("persona_id", "field", "ord").agg(F.map_from_entries(F.collect_list(F.struct("metric", "fmt"))).alias("m"))
+    desc = F.when(F.col("m")["mode"].isNotNull(), F.concat(F.lit("mode "), F.col("m")["mode"])).otherwise(
+        F.concat(F.lit("mean "), F.coalesce(F.col("m")["mean"], F.lit("N/A")), F.lit(" / std "),
+                 F.coalesce(F.col("m")["std"], F.lit("N/A"))))
+    per = per.select("persona_id", "field", "ord", desc.alias("persona_txt"))
+    v = values_long.select("hid", "field", F.coalesce(F.trim(F.col("value").cast("string")), F.lit("N/A")).alias("hh"))
+    j = pairs.select("hid", "persona_id").join(v, "hid").join(F.broadcast(per), ["persona_id", "field"])
+    line = F.concat(F.lit("- "), F.col("field"), F.lit(": household="), F.col("hh"), F.lit(", persona="), F.col("persona_txt"))
+    aligned = j.groupBy("hid", "persona_id").agg(F.array_join(F.transform(
+        F.slice(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), 1, max_lines), lambda e: e["l"]), "\n")
+        .alias("aligned"))
+    out = pairs.select("hid", "persona_id").join(aligned, ["hid", "persona_id"], "left")
+    if supplementary is not None:
+        sup = supplementary.groupBy("hid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+            "pos", F.concat(F.lit("- "), F.col("label"), F.lit(" ("), F.col("field"), F.lit("): "), F.col("value")).alias("l")))),
+            lambda e: e["l"]), "\n").alias("supp"))
+        out = out.join(sup, "hid", "left")
+    else:
+        out = out.withColumn("supp", F.lit(None).cast("string"))
+    return out.select("hid", "persona_id", F.concat_ws(
+        "\n\n", F.concat(F.lit("Household vs persona "), F.col("persona_id").cast("string"), F.lit(":\n"),
+                         F.coalesce("aligned", F.lit("(no shared fields)"))),
+        F.when(F.col("supp").isNotNull(), F.concat(F.lit("Additional household fields:\n"), F.col("supp")))).alias("prompt"))
+
+
+def survey_prompt_table(households: DataFrame, concepts: dict[str, list[str]], persona_names: DataFrame,
+                        max_lines: int = 15, id_col: str = "hid", persona_col: str = "persona_id") -> DataFrame:
+    """Household description for the questionnaire: for each concept the
+    first non-null of its candidate columns (text trimmed, numbers via the T12
+    rules), at most ``max_lines`` lines, plus the persona name.  Finance
+    concepts are simply not listed in ``concepts``.  Persona names are one row
+    per persona (broadcast)."""
+    lines = []
+    for concept, cols in concepts.items():
+        present = [c for c in cols if c in households.columns]
+        if not present:
+            continue
+        vals = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in present]
+        lines.append(F.when(F.coalesce(*vals).isNotNull(),
+                            F.concat(F.lit(f"- {concept}: "), F.coalesce(*vals))))
+    arr = F.slice(F.filter(F.array(*lines), lambda s: s.isNotNull()), 1, max_lines) if lines else F.array()
+    h = households.select(F.col(id_col).alias("hid"), F.col(persona_col).alias("persona_id"),
+                          F.array_join(arr, "\n").alias("desc"))
+    names = F.broadcast(persona_names.select("persona_id", "persona_name"))
+    return h.join(names, "persona_id", "left").select(
+        "hid", "persona_id", F.concat(F.lit("Persona: "), F.coalesce("persona_name", F.lit("Unknown")),
+                                      F.lit("\nHousehold:\n"), F.col("desc")).alias("prompt"))

@@ -308,3 +308,30 @@ def q_t15(spark, sf_dir):
     return pt.tag_persona(parsed.select("cluster_id", "p.*"), "psid").select(
         "cluster_id", "persona_id", "persona_name", "core_characteristics", "behavior_patterns",
         "decision_making_logic", "parse_error")
+
+
+@register("fit_prompt_table")
+def q_t25(spark, sf_dir):
+    """T25 over the iteration-1 sample (W14) and each household's persona."""
+    from hearth.operators import profile as pf
+    from hearth.plans.q_refine import _sample
+    prof = _profiles(spark, sf_dir)
+    stats = _stats_long(prof).withColumnRenamed("cluster_id", "persona_id")
+    s = _sample(spark, sf_dir).select("hid", "persona_id")
+    h = households(spark, sf_dir)
+    cols = [c for c in h.columns if c not in ("hid", "o_custkey")]
+    vals = h.join(s.select("hid"), "hid").select("hid", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols])).alias("c")).select("hid", "c.*")
+    sup = rf.supplementary_fields(vals, _supp_meta(pf.field_profile(h)), used=HOUSEHOLD_CONTINUOUS + HOUSEHOLD_CATEGORICAL)
+    return pt.fit_prompt_table(s, vals, stats, sup)
+
+
+@register("survey_prompt_table")
+def q_t26(spark, sf_dir):
+    """T26 for every labelled household with its persona."""
+    lab = labeled(spark, sf_dir).where(F.col("cluster") != -1).withColumn("persona_id", F.col("cluster"))
+    names = _profiles(spark, sf_dir).select(F.col("cluster_id").alias("persona_id"),
+                                            F.concat(F.lit("Persona "), F.col("cluster_id").cast("string")).alias("persona_name"))
+    concepts = {"order status": ["status"], "priority": ["priority", "ret_status"], "line count": ["n_lines"],
+                "returns": ["has_return"]}
+    return pt.survey_prompt_table(lab, concepts, names)
