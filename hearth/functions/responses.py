@@ -103,12 +103,14 @@ def combined_score(fit: Column, questionnaire: Column, dataset: str) -> Column:
 
 def normalize_answer(raw: Column) -> Column:
     """Upper-cased; a leading A-E wins, else the first standalone A-E token
-    (non-alphanumerics split tokens), else ''."""
-    s = F.upper(F.regexp_replace(raw.cast("string"), r"^\s+|\s+$", ""))
-    first = F.regexp_extract(s, r"^[A-E]", 0)
+    (non-alphanumerics split tokens), else ''.  The leading-letter test is a
+    plain substring check; the token regexes only run for the other rows."""
+    s = F.upper(F.btrim(raw.cast("string"), F.lit(" \t\n\r\x0b\x0c")))
+    first = F.substring(s, 1, 1)
     cleaned = F.concat(F.lit(" "), F.regexp_replace(s, r"[^\p{L}\p{N}]", " "), F.lit(" "))
     tok = F.regexp_extract(cleaned, r" ([A-E])(?= )", 1)
-    return F.when(raw.isNull(), F.lit("")).when(first != "", first).otherwise(F.coalesce(tok, F.lit("")))
+    return (F.when(raw.isNull(), F.lit("")).when(first.isin(*LETTERS), first)
+            .otherwise(F.coalesce(tok, F.lit(""))))
 
 
 def balanced_json_py(text: str | None, allow_array: bool = False) -> str | None:
