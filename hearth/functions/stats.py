@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,20 +66,101 @@ def value_counts(long: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cnt"), F.max("x").alias("x")))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Iterable[float],
-              weight: str | None = None, prefix: str = "q") -> DataFrame:
-    """Exact linear quantiles of ``x`` per ``keys``.
+MAX_EXACT_DISTINCT = 200_000
+REFINE_BUCKETS = 1024
+
 
-    Fed with a value-count table (``weight`` = multiplicity) the aggregation
-    state per group is the set of distinct values of one column, map-side
-    combined before the shuffle.
+def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Iterable[float],
+              weight: str | None = None, prefix: str = "q", max_exact: int = MAX_EXACT_DISTINCT,
+              buckets: int = REFINE_BUCKETS) -> DataFrame:
+    """Exact linear quantiles of ``x`` per ``keys`` (pandas / DuckDB
+    ``quantile_cont``) with bounded per-task state.
+
+    Values are first reduced to distinct ``(keys, x, w)`` (map-side combined).
+    Groups with at most ``max_exact`` distinct values use Spark's exact
+    ``percentile`` (its state is those values).  Larger groups find the values
+    at the needed ranks by bucket refinement: each round counts rows per
+    equal-width bucket of the current range (a small ``targets x buckets``
+    table), keeps the bucket holding the rank, and stops once that bucket has
+    at most ``max_exact`` distinct values, which one task then ranks exactly.
+    Only per-group counts, bucket counts and the chosen values reach the driver.
     """
     probs = list(probs)
+    keys = list(keys)
+    names = [f"{prefix}{int(round(p * 100)):02d}" for p in probs]
     w = F.col(weight) if weight else F.lit(1)
-    arr = F.percentile(F.col(x), F.array(*[F.lit(float(p)) for p in probs]), w)
-    out = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(arr.alias("_qs"))
-    return out.select(*keys, *[F.col("_qs")[i].alias(f"{prefix}{int(round(p * 100)):02d}")
-                               for i, p in enumerate(probs)])
+    vc = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).cast("long").alias("_w"))
+    stats = collect_bounded(vc.groupBy(*keys).agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("d"),
+                                                  F.min("_x").alias("lo"), F.max("_x").alias("hi")),
+                            1_000_000, "quantile group sizes")
+    big = [r for r in stats if r["d"] > max_exact]
+    small_vc = vc
+    if big:
+        cond = F.lit(True)
+        for r in big:
+            c = F.lit(True)
+            for k in keys:
+                c = c & F.col(k).eqNullSafe(F.lit(r[k]))
+            cond = cond & ~c
+        small_vc = vc.where(cond)
+    arr = F.percentile(F.col("_x"), F.array(*[F.lit(float(p)) for p in probs]), F.col("_w"))
+    small = small_vc.groupBy(*keys).agg(arr.alias("_qs")).select(
+        *keys, *[F.col("_qs")[i].alias(n) for i, n in enumerate(names)])
+    if not big:
+        return small
+    rows = [_big_group_quantiles(vc, keys, r, probs, max_exact, buckets) for r in big]
+    spark = df.sparkSession
+    schema = small.schema
+    extra = spark.createDataFrame([tuple(r[k] for k in keys) + tuple(q) for r, q in zip(big, rows)], schema)
+    return small.unionByName(extra)
+
+
+def _big_group_quantiles(vc: DataFrame, keys, grp, probs, max_exact: int, buckets: int) -> list[float]:
+    n = int(grp["n"])
+    sel = vc
+    for k in keys:
+        sel = sel.where(F.col(k).eqNullSafe(F.lit(grp[k])))
+    sel = sel.select("_x", "_w")
+    need = {}
+    for p in probs:
+        r = p * (n - 1)
+        k1 = int(math.floor(r))
+        need[k1] = None
+        need[min(k1 + 1, n - 1)] = None
+    for rank in list(need):
+        need[rank] = _value_at_rank(sel, rank, float(grp["lo"]), float(grp["hi"]), max_exact, buckets)
+    out = []
+    for p in probs:
+        r = p * (n - 1)
+        k1 = int(math.floor(r))
+        v1, v2 = need[k1], need[min(k1 + 1, n - 1)]
+        out.append(v1 + (r - k1) * (v2 - v1))
+    return out
+
+
+def _value_at_rank(sel: DataFrame, rank: int, lo: float, hi: float, max_exact: int, buckets: int) -> float:
+    """Value of 0-based ``rank`` in the multiset ``sel(_x, _w)``."""
+    offset = 0
+    while True:
+        part = sel.where((F.col("_x") >= lo) & (F.col("_x") <= hi))
+        if lo == hi:
+            return lo
+        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+        counts = collect_bounded(part.groupBy(b.alias("b")).agg(
+            F.sum("_w").alias("c"), F.count(F.lit(1)).alias("d"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
+            .orderBy("b"), buckets, "bucket counts")
+        cum = offset
+        for row in counts:
+            if cum + row["c"] > rank:
+                break
+            cum += row["c"]
+        offset, lo, hi = cum, float(row["mn"]), float(row["mx"])
+        if row["d"] <= max_exact or lo == hi:
+            from pyspark.sql import Window
+            inb = sel.where((F.col("_x") >= lo) & (F.col("_x") <= hi))
+            wdw = Window.orderBy("_x")  # at most max_exact rows: one bounded task
+            ranked = inb.withColumn("_cum", F.sum("_w").over(wdw) + F.lit(offset))
+            return float(ranked.where(F.col("_cum") > rank).orderBy("_x").limit(1).collect()[0]["_x"])
 
 
 def null_safe_div(a: Column, b: Column) -> Column:

@@ -83,3 +83,17 @@ def test_reuse_selection_and_recluster_fields(spark):
     assert num == ["hid", "income"] and cat == ["grp", "note"]
     num2, cat2 = pf.recluster_fields(df, [{"field_name": "income", "type": "continuous"}, {"field_name": "zz"}])
     assert num2 == ["income"] and cat2 == []
+
+
+def test_exact_quantiles_bounded_path(spark):
+    import numpy as np
+    from hearth.functions.stats import quantiles
+    rnd = np.random.default_rng(3)
+    vals = np.concatenate([rnd.lognormal(3, 2, 3000), np.full(500, 7.0), rnd.normal(0, 1, 400)])
+    rows = [("a", float(v)) for v in vals] + [("b", float(v)) for v in vals[:50]]
+    df = spark.createDataFrame(rows, "g string, x double")
+    # max_exact=100 forces the refinement path for group a; b stays on the direct path
+    got = {r.g: r for r in quantiles(df, ["g"], "x", [0.25, 0.5, 0.75, 0.9], max_exact=100, buckets=16).collect()}
+    for g, data in (("a", vals), ("b", vals[:50])):
+        want = np.percentile(data, [25, 50, 75, 90])
+        assert np.allclose([got[g].q25, got[g].q50, got[g].q75, got[g].q90], want, rtol=0, atol=1e-9), (g, got[g], want)
