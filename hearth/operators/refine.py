@@ -111,9 +111,10 @@ def capped_cluster_sample(need: DataFrame, caps: DataFrame, iteration: int, labe
 
 def cap_outliers(outliers: DataFrame, cap: int, iteration: int, id_col: str = "hid") -> DataFrame:
     """Over the cap keep current-iteration outliers first (sampled if
-    more than the cap), then sampled older ones."""
-    w = Window.orderBy(F.col("is_current").desc(), sample_key(iteration, F.col(id_col)), F.col(id_col))
-    return outliers.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    more than the cap), then sampled older ones.  ``orderBy().limit(cap)`` is a
+    top-k per partition merged on one task (at most cap x partitions rows)."""
+    key = sample_key(iteration, F.col(id_col))
+    return outliers.orderBy(F.col("is_current").desc(), key, F.col(id_col)).limit(cap)
 
 
 def need_validation(members: DataFrame, evaluated: DataFrame) -> DataFrame:

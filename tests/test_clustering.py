@@ -97,3 +97,18 @@ def test_exact_quantiles_bounded_path(spark):
     for g, data in (("a", vals), ("b", vals[:50])):
         want = np.percentile(data, [25, 50, 75, 90])
         assert np.allclose([got[g].q25, got[g].q50, got[g].q75, got[g].q90], want, rtol=0, atol=1e-9), (g, got[g], want)
+
+
+def test_stall_detection_and_cap(spark):
+    from hearth.operators import refine as rf
+    base = dict(n_validated=5, n_problem=1, n_pending=0, n_personas=3, coverage=0.5, problem_rate=0.1, n_new_personas=0)
+    rows = []
+    for it in range(1, 6):
+        idle = it >= 3
+        rows.append(dict(iteration=it, iter_validated=0 if idle else 3, iter_outliers=0, iter_moved=0, **base))
+    h = spark.createDataFrame(rows)
+    got = {r.iteration: r.stalled for r in rf.stall_detection(h).collect()}
+    assert [got[i] for i in range(1, 6)] == [False, False, False, False, True]
+    o = spark.createDataFrame([(i, i % 3 == 0) for i in range(100)], "hid long, is_current boolean")
+    capped = rf.cap_outliers(o, 40, 1).collect()
+    assert len(capped) == 40 and sum(r.is_current for r in capped) == 34
