@@ -242,8 +242,10 @@ def _similar_partition(seeds: pd.DataFrame, stds: dict, num: list[str], cat: lis
                 std = np.array([stds.get((cl, f), 1.0) for f in num], dtype=float)
                 a_num = sg[num].to_numpy(dtype=float) if num else np.zeros((len(sg), 0))
                 a_cat = sg[cat].astype(object).to_numpy() if cat else np.zeros((len(sg), 0), dtype=object)
-                for start in range(0, len(rows), 2048):
-                    r = rows.iloc[start:start + 2048]
+                # block size keeps the seeds x rows x fields distance block near 4M cells
+                step = max(64, min(2048, 4_000_000 // max(1, len(sg) * max(1, len(num) + len(cat)))))
+                for start in range(0, len(rows), step):
+                    r = rows.iloc[start:start + step]
                     b_num = r[num].to_numpy(dtype=float) if num else np.zeros((len(r), 0))
                     b_cat = r[cat].astype(object).to_numpy() if cat else np.zeros((len(r), 0), dtype=object)
                     diff = (a_num[:, None, :] - b_num[None, :, :]) / std[None, None, :]
