@@ -44,8 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` (or an already-set SparkContext checkpoint
-    dir).  Only when neither exists (local tests) a fresh scratch folder is
-    created and registered.
+    dir).  Only in local mode (tests) is a fresh scratch folder created when
+    neither is set; on a cluster a missing setting is an error, because a
+    machine-local folder would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -58,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage (HDFS/S3/...)")
         configured = tempfile.mkdtemp(prefix="hearth-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured

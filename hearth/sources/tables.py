@@ -27,7 +27,7 @@ def _materialized(name: str):
     executor recomputes its blocks from lineage."""
     def deco(fn):
         def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (id(spark._jsparkSession), sf_dir, name)
+            key = (spark.sparkContext.applicationId, sf_dir, name)
             df = _DERIVED.get(key)
             if df is None:
                 from pyspark import StorageLevel
