@@ -429,3 +429,26 @@ def q_w19(spark, sf_dir):
                                      for x in (F.lit(k), F.lit(v))])[F.col("priority")], F.lit(4)).cast("int")
     sizes = sub.groupBy(code.alias("local_cluster")).agg(F.count(F.lit(1)).alias("n"))
     return rf.new_persona_ids(sizes, 7, 12 - 7)
+
+
+@register("recluster_outliers")
+def q_r6(spark, sf_dir):
+    """R6 (property-checked): the fixture's problem households, capped (W17),
+    re-clustered with C1-C8 under k <= min(max(2, min(10, n - 1)), max(2, slots))
+    and given new persona ids by size (W19); sub-cluster noise stays flagged."""
+    from hearth.plans.cluster_job import run_cluster_job
+    st = household_state(spark, sf_dir)
+    probs = st.where(F.col("status") == rf.PROBLEM).select("hid", F.lit(False).alias("is_current"))
+    chosen = rf.cap_outliers(probs, 2000, 1).select("hid")
+    subset = chosen.join(labeled(spark, sf_dir).drop("cluster"), "hid")
+    n = subset.count()
+    slots = 12 - 7
+    kmax = min(max(2, min(10, n - 1)), max(2, slots))
+    sel = [{"field_name": c, "type": "continuous"} for c in NUM] + [{"field_name": c, "type": "categorical"} for c in CAT]
+    res = run_cluster_job(subset, selection=sel, excluded_patterns=[], max_k=kmax, n_init=2, max_iter=20)
+    lab = res.labels
+    sizes = lab.where(F.col("cluster") != -1).groupBy(F.col("cluster").alias("local_cluster")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ids = rf.new_persona_ids(sizes, 6, slots)
+    return lab.join(F.broadcast(ids.select(F.col("local_cluster").alias("cluster"), "persona_id")), "cluster", "left") \
+        .select("hid", F.col("cluster").alias("local_cluster"), F.coalesce("persona_id", F.lit(-1)).alias("new_persona_id"))
