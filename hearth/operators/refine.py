@@ -71,6 +71,19 @@ def adaptive_sample_sizes(sizes: DataFrame, epsilon: Column | float | None = Non
     return s.select("cluster", "n", eps.alias("epsilon"), cap.cast("long").alias("cap"))
 
 
+def _allow_group_limit(spark, limit: int) -> None:
+    """Spark only inserts the map-side window group limit below
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (default 1000); raise it
+    so per-cluster caps up to ``limit`` are also cut before the shuffle."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    try:
+        cur = int(spark.conf.get(key))
+    except Exception:  # noqa: BLE001 - unset / older versions
+        cur = 1000
+    if cur <= limit:
+        spark.conf.set(key, str(limit + 1))
+
+
 def sample_key(seed: Column | int | str, hid: Column) -> Column:
     """Portable pseudo-random order: md5('<seed>:<hid>') (same rows in any engine)."""
     sd = seed if isinstance(seed, Column) else F.lit(str(seed))
@@ -99,6 +112,7 @@ def capped_cluster_sample(need: DataFrame, caps: DataFrame, iteration: int, labe
     seeded by (random_state, iteration, cluster).  Adds ``sampled_down``
     (the cluster had more candidates than its cap)."""
     c = F.broadcast(caps.select(F.col("cluster").alias(label), "cap"))  # one row per cluster
+    _allow_group_limit(need.sparkSession, max_cap)
     w = Window.partitionBy(label).orderBy(sample_key(iteration_seed(F.col(label), iteration), F.col(id_col)),
                                           F.col(id_col))
     ranked = need.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_cap)

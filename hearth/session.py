@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # per-group top-n / sample caps up to 2000 rows are cut map-side before the shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # broadcast joins are chosen explicitly behind size checks; keep the
     # automatic threshold at Spark's default (10 MB) rather than raising it.
 }
