@@ -7,8 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("mixing", "simhash", "toxicity", "topk", "decontaminate", "langid", "sharding", "chat",
-           "quality", "tokencount")
+MODULES = ("langid", "sharding", "chat", "tokencount")
 
 
 def register(key: str, sql: str | None = None):

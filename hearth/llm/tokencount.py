@@ -42,31 +42,20 @@ class Counter:
     """Counts tokens of texts under the best unigram segmentation."""
 
     def __init__(self, vocabulary: list[tuple[str, float]], unknown_id: int = 0, memo: int = 600_000):
-        self.vocabulary, self.unknown_id, self.memo_size = vocabulary, unknown_id, memo
-        self.automaton = None
-
-    def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "unknown_id": self.unknown_id, "memo_size": self.memo_size,
-                "automaton": None}
-
-    def build(self) -> Counter:
-        """The automaton, made where it is used and once per process."""
-        if self.automaton is None:
-            import ahocorasick
-            # of equal pieces the last id wins, as in a token -> id map
-            self.pieces = {p: s for p, s in self.vocabulary if p}
-            self.single = {p for p in self.pieces if len(p) == 1}
-            self.unknown_piece = self.vocabulary[self.unknown_id][0]
-            self.unknown = min(s for _, s in self.vocabulary) - UNKNOWN_PENALTY
-            inside = re.compile(f"[^{MARK}]{MARK}")
-            whole = MARK not in self.pieces or any(inside.search(p) for p in self.pieces)
-            self.segment = None if whole else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-            self.memo = {}
-            self.automaton = ahocorasick.Automaton()
-            for piece, score in self.pieces.items():
-                self.automaton.add_word(piece, (len(piece), score, piece == self.unknown_piece))
-            self.automaton.make_automaton()
-        return self
+        import ahocorasick
+        # of equal pieces the last id wins, as in a token -> id map
+        self.pieces = {p: s for p, s in vocabulary if p}
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.unknown_piece = vocabulary[unknown_id][0]
+        self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
+        inside = re.compile(f"[^{MARK}]{MARK}")
+        whole = MARK not in self.pieces or any(inside.search(p) for p in self.pieces)
+        self.segment = None if whole else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.memo_size, self.memo = memo, {}
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in self.pieces.items():
+            self.automaton.add_word(piece, (len(piece), score, piece == self.unknown_piece))
+        self.automaton.make_automaton()
 
     def _run(self, run: str) -> int:
         """Tokens of a fused unknown run: itself, its bytes, or one unknown."""
@@ -150,14 +139,17 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], unknown_i
 
     Whole texts of any length; null and empty texts count 0; repeated rows give
     repeated results; a null doc_id stays null; no rows give none.  The
-    vocabulary (a fixed size) is broadcast; each worker builds its automaton
-    once and its memo table is bounded.  Scores must be such that their sums
+    vocabulary (a fixed size) is broadcast; each worker process builds its
+    automaton once, beside the broadcast value, and its memo table is bounded.  Scores must be such that their sums
     are exact (sentencepiece BPE ranks are whole numbers)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Counter(vocabulary, unknown_id))
+    shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": vocabulary})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counter = shared.value.build()
+            here = shared.value
+            if "counter" not in here:
+                here["counter"] = Counter(here["vocabulary"], unknown_id)
+            counter = here["counter"]
             got = [counter.count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()),
