@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("langid", "sharding", "chat", "tokencount")
+MODULES = ("simhash", "topk", "langid", "sharding", "chat", "tokencount")
 
 
 def register(key: str, sql: str | None = None):
