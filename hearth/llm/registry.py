@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("simhash", "topk", "decontaminate", "langid", "sharding", "chat", "tokencount")
+MODULES = ("mixing", "simhash", "topk", "decontaminate", "langid", "sharding", "chat", "tokencount")
 
 
 def register(key: str, sql: str | None = None):
