@@ -41,7 +41,6 @@ def labelled_sample(labels: DataFrame, column: str, m: int, r: int, limit: int,
     """At most ``limit`` labelled rows ``(doc_id, y)`` that are not held out
     (crc32 of doc_id mod ``m`` is not ``r``), drawn by a hash of doc_id.  A
     doc_id with several labels takes the larger; null labels are left out."""
-    # in-process comparison, done before the limit so that the sample holds only usable rows
     ok = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), m, r))
     one = ok.groupBy("doc_id").agg(F.max("y").alias("y"))
