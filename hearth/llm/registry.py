@@ -7,7 +7,8 @@ import importlib
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ("mixing", "simhash", "topk", "decontaminate", "langid", "sharding", "chat", "quality", "tokencount")
+MODULES = ("mixing", "simhash", "toxicity", "topk", "decontaminate", "langid", "sharding", "chat", "quality",
+           "tokencount")
 
 
 def register(key: str, sql: str | None = None):
