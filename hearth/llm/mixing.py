@@ -249,6 +249,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     return out.select(*[F.col(f"d.{c}") for c in base.columns], "size", "source_size", "target", placements.alias("placements"))
 
 
+def mixed_rows(docs: DataFrame, **params) -> DataFrame:
+    """The mix itself: the rows of ``docs`` (its columns only), each as often as it is taken."""
+    out = mix(docs, **params)
+    return out.select(*[c for c in docs.columns if c in out.columns and c not in ("size", "source_size", "target", "placements")],
+                      F.explode("placements").alias(fresh(docs, "placement"))).select(*[c for c in docs.columns])
+
+
 @register("op1_mixing")
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each with the words that the mix takes of it."""

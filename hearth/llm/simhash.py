@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.common import table
+from hearth.llm.common import fresh, table
 from hearth.llm.components import components
 from hearth.llm.registry import register
 from hearth.session import cut_lineage
 
 SEED = 42
+BROADCAST_ROWS = 200_000  # narrow rows that may be broadcast; more are joined by shuffle
 PIECE = 65536  # shingles whose bits are unpacked at a time
 
 
@@ -55,13 +56,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long) of each row of ``docs(doc_id, text)``."""
+    """(doc_id, text_hash long, fp long) of each row of ``docs(doc_id, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # ------------------------------------------------------------------ the plan
@@ -259,21 +261,46 @@ def near_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 20000, samp
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs(doc_id, text)``: the
+    """(doc_id, text_hash, fp, component_id, root) for each row of ``docs(doc_id, text)``: the
     smallest doc_id that can be reached over links of at most ``distance`` bits.
 
+    ``root`` is the component's smallest fingerprint.
     Texts that are null, empty or white space have fingerprint 0 and are linked
     like any other.  Rows with a null doc_id get the smallest doc_id of their
     component, or null if it has none.  Repeated rows repeat; no rows give none."""
     own = cut_lineage(fingerprints(docs, shingle))
     each = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     stars = components(near_links(each, distance))
+    # a fingerprint without links is its own root
     rooted = (each.join(stars, each["fp"] == stars["node"], "left")
-              .select("fp", "low", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
+              .select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
     heads = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("rows"))
     # only fingerprints with company need the join; of all others the document is its own component
-    company = rooted.join(heads.where(F.col("rows") > 1), "root").select("fp", "component_id")
-    return own.join(company, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    company = rooted.join(heads.where(F.col("rows") > 1), "root").select("fp", "root", "component_id")
+    return own.join(company, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id"),
+                                                  F.coalesce(F.col("root"), F.col("fp")).alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """One row of ``docs`` (all columns) of each component: the one with the
+    smallest doc_id (null last), of several texts under that id the one with
+    the smallest hash, of repeated rows any."""
+    found = cut_lineage(near_duplicates(docs, shingle, distance))
+    groups = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    heads = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("head"), F.sum("n").alias("rows"))
+    # only components of several rows lose any
+    judged = groups.join(heads.where(F.col("rows") > 1), "root").select(
+        "doc_id", "text_hash", "n", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("stays"))
+    judged = cut_lineage(judged.where(~F.col("stays") | (F.col("n") > 1)))
+    judged = F.broadcast(judged) if judged.count() <= BROADCAST_ROWS else judged
+    mark = fresh(docs, "text_hash")
+    told = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).alias("d")
+
+    def match(other: DataFrame, how: str) -> DataFrame:
+        j = other.alias("j")
+        return told.join(j, F.col("d.doc_id").cast("long").eqNullSafe(F.col("j.doc_id")) & (F.col(f"d.{mark}") == F.col("j.text_hash")), how)
+    repeated = match(judged.where("stays"), "left_semi").dropDuplicates(["doc_id", mark])
+    return match(judged, "left_anti").unionByName(repeated).drop(mark)
 
 
 @register("op2_simhash_near_dedup")
