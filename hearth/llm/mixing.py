@@ -16,7 +16,7 @@ or per block, and blocks are at most ``max_blocks`` besides one per source.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -68,29 +68,39 @@ def _steps(low: Column, high: Column) -> Column:
     return F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<long>"))
 
 
+def _let(values: Sequence[Column], body: Callable[..., Column]) -> Column:
+    """``body`` over the values, each evaluated once (a name put into a lambda
+    as an expression would be evaluated at every step of a fold)."""
+    bound = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(bound, lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def hypergeometric(kind: Column, draws: Column, pool: Column, u: Column) -> Column:
     """How many of ``kind`` among ``pool`` slots are met in ``draws`` draws
     without return, by inverting the distribution at ``u``.  The weights follow
-    from their ratios, summed as logarithms so that nothing under- or overflows."""
-    low = F.greatest(F.lit(0).cast("long"), draws - (pool - kind))
-    high = F.least(kind, draws)
-    steps = _steps(low, high)
+    from their ratios, summed as logarithms so that nothing under- or overflows;
+    three passes over the support."""
+    zero = F.lit(0.0)
 
-    def log_ratio(x: Column) -> Column:  # weight of x over weight of x - 1
-        return F.log(((kind - x + 1) * (draws - x + 1)).cast("double") / (x * (pool - kind - draws + x)).cast("double"))
+    def draw(kind: Column, draws: Column, pool: Column, u: Column, low: Column, steps: Column) -> Column:
+        def log_ratio(x: Column) -> Column:  # weight of x over weight of x - 1
+            return F.log(((kind - x + 1) * (draws - x + 1)).cast("double") / (x * (pool - kind - draws + x)).cast("double"))
 
-    zero = F.lit(0.0)
-    top = F.aggregate(steps, F.struct(zero.alias("l"), zero.alias("m")),
-                      lambda a, x: F.struct((a["l"] + log_ratio(x)).alias("l"), F.greatest(a["m"], a["l"] + log_ratio(x)).alias("m")),
-                      lambda a: a["m"])
+        def grown(a: Column, x: Column) -> Column:
+            return a["l"] + log_ratio(x)
+
+        def walk(top: Column, goal: Column) -> Column:
+            """Sums weights from ``low`` on; x stops where the sum first passes ``goal``."""
+            return F.aggregate(steps, F.struct(zero.alias("l"), F.exp(-top).alias("s"), low.alias("x")),
+                               lambda a, x: _let([grown(a, x)], lambda l: F.struct(
+                                   l.alias("l"), (a["s"] + F.exp(l - top)).alias("s"), F.when(a["s"] < goal, x).otherwise(a["x"]).alias("x"))))
+        top = F.aggregate(steps, F.struct(zero.alias("l"), zero.alias("m")),
+                          lambda a, x: _let([grown(a, x)], lambda l: F.struct(l.alias("l"), F.greatest(a["m"], l).alias("m"))),
+                          lambda a: a["m"])
+        return _let([top], lambda t: _let([walk(t, F.lit(float("inf")))["s"] * u], lambda goal: walk(t, goal)["x"]))
 
-    def walk(start: Column, goal: Column) -> Column:
-        """Sums weights from ``low`` on; x stops where the sum first passes ``goal``."""
-        return F.aggregate(steps, F.struct(zero.alias("l"), start.alias("s"), low.alias("x")),
-                           lambda a, x: F.struct((a["l"] + log_ratio(x)).alias("l"), (a["s"] + F.exp(a["l"] + log_ratio(x) - top)).alias("s"),
-                                                 F.when(a["s"] < goal, x).otherwise(a["x"]).alias("x")))
-    total = walk(F.exp(-top), F.lit(float("inf")))["s"]
-    return walk(F.exp(-top), u * total)["x"]
+    low = F.greatest(F.lit(0).cast("long"), draws - (pool - kind))
+    return _let([kind, draws, pool, u, low, _steps(low, F.least(kind, draws))], draw)
 
 
 def _draw_left(node: Column, quotas: Column, draws: Column, seed: int) -> Column:
@@ -251,9 +261,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: the rows of ``docs`` (its columns only), each as often as it is taken."""
-    out = mix(docs, **params)
-    return out.select(*[c for c in docs.columns if c in out.columns and c not in ("size", "source_size", "target", "placements")],
-                      F.explode("placements").alias(fresh(docs, "placement"))).select(*[c for c in docs.columns])
+    row = fresh(docs, "row")
+    packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias(row))
+    return mix(packed, **params).select(row, F.explode("placements")).select(f"{row}.*")
 
 
 @register("op1_mixing")
