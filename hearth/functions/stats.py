@@ -14,6 +14,7 @@ import math
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,7 +68,7 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 
 MAX_EXACT_DISTINCT = 200_000
-REFINE_BUCKETS = 1024
+REFINE_BUCKETS = 64
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Iterable[float],
@@ -80,8 +81,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Iterable[float]
     Groups with at most ``max_exact`` distinct values use Spark's exact
     ``percentile`` (its state is those values).  Larger groups find the values
     at the needed ranks by bucket refinement: each round counts rows per
-    equal-width bucket of the current range (a small ``targets x buckets``
-    table), keeps the bucket holding the rank, and stops once that bucket has
+    bucket of the current range (a small table), keeps the bucket holding the rank, and stops once that bucket has
     at most ``max_exact`` distinct values, which one task then ranks exactly.
     Only per-group counts, bucket counts and the chosen values reach the driver.
     """
@@ -89,7 +89,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, probs: Iterable[float]
     keys = list(keys)
     names = [f"{prefix}{int(round(p * 100)):02d}" for p in probs]
     w = F.col(weight) if weight else F.lit(1)
-    vc = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).cast("long").alias("_w"))
+    # NaN counts as missing
+    there = F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    vc = df.where(there).groupBy(*keys, F.col(x).alias("_x")).agg(F.sum(w).cast("long").alias("_w"))
     stats = collect_bounded(vc.groupBy(*keys).agg(F.sum("_w").alias("n"), F.count(F.lit(1)).alias("d"),
                                                   F.min("_x").alias("lo"), F.max("_x").alias("hi")),
                             1_000_000, "quantile group sizes")
@@ -128,40 +130,37 @@ def _big_group_quantiles(vc: DataFrame, keys, grp, probs, max_exact: int, bucket
         need[k1] = None
         need[min(k1 + 1, n - 1)] = None
     for rank in list(need):
-        need[rank] = _value_at_rank(sel, rank, float(grp["lo"]), float(grp["hi"]), max_exact, buckets)
+        need[rank] = _value_at_rank(sel, rank, max_exact, buckets)
     out = []
     for p in probs:
         r = p * (n - 1)
         k1 = int(math.floor(r))
         v1, v2 = need[k1], need[min(k1 + 1, n - 1)]
-        out.append(v1 + (r - k1) * (v2 - v1))
+        out.append(v1 if v1 == v2 or r == k1 else v1 + (r - k1) * (v2 - v1))
     return out
 
 
-def _value_at_rank(sel: DataFrame, rank: int, lo: float, hi: float, max_exact: int, buckets: int) -> float:
-    """Value of 0-based ``rank`` in the multiset ``sel(_x, _w)``."""
-    offset = 0
+def _value_at_rank(sel: DataFrame, rank: int, max_exact: int, buckets: int) -> float:
+    """Value of 0-based ``rank`` in the multiset ``sel(_x, _w)`` of distinct
+    ``_x``, infinities included.  Buckets are cut at approximate quantiles of the
+    distinct values, so every round leaves about one part in ``buckets`` of them
+    however they are spread."""
+    part, offset = sel, 0
     while True:
-        part = sel.where((F.col("_x") >= lo) & (F.col("_x") <= hi))
-        if lo == hi:
-            return lo
-        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
+        cuts = sorted(set(part.agg(F.percentile_approx("_x", [i / buckets for i in range(buckets + 1)], 20 * buckets)).first()[0]))
+        edges = F.array(*[F.lit(float(c)) for c in cuts])
+        b = F.size(F.filter(edges, lambda e: e <= F.col("_x")))
         counts = collect_bounded(part.groupBy(b.alias("b")).agg(
             F.sum("_w").alias("c"), F.count(F.lit(1)).alias("d"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
-            .orderBy("b"), buckets, "bucket counts")
-        cum = offset
+            .orderBy("b"), len(cuts) + 1, "bucket counts")
         for row in counts:
-            if cum + row["c"] > rank:
+            if offset + row["c"] > rank:
                 break
-            cum += row["c"]
-        offset, lo, hi = cum, float(row["mn"]), float(row["mx"])
-        if row["d"] <= max_exact or lo == hi:
-            from pyspark.sql import Window
-            inb = sel.where((F.col("_x") >= lo) & (F.col("_x") <= hi))
+            offset += row["c"]
+        if row["mn"] == row["mx"]:
+            return float(row["mn"])
+        part = sel.where((F.col("_x") >= F.lit(row["mn"])) & (F.col("_x") <= F.lit(row["mx"])))
+        if row["d"] <= max_exact:
             wdw = Window.orderBy("_x")  # at most max_exact rows: one bounded task
-            ranked = inb.withColumn("_cum", F.sum("_w").over(wdw) + F.lit(offset))
+            ranked = part.withColumn("_cum", F.sum("_w").over(wdw) + F.lit(offset))
             return float(ranked.where(F.col("_cum") > rank).orderBy("_x").limit(1).collect()[0]["_x"])
-
-
-def null_safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)

@@ -145,9 +145,11 @@ def quota_remainder(alloc: DataFrame, target: int = FIELD_TARGET) -> DataFrame:
     return out.withColumn("quota", F.col("quota0") + F.coalesce(F.col("delta"), F.lit(0))).drop("delta", "diff")
 
 
-def top_n_per_group(fields: DataFrame, quotas: DataFrame, max_quota: int = FIELD_TARGET) -> DataFrame:
+def top_n_per_group(fields: DataFrame, quotas: DataFrame) -> DataFrame:
     """Best ``quota`` rows per category by composite score, ties keep input
-    order.  ``quotas`` has one row per category (broadcast)."""
+    order.  ``quotas`` has one row per category (broadcast); the largest quota
+    bounds the rank, so that groups are cut before the shuffle."""
+    max_quota = quotas.agg(F.max("quota")).first()[0] or 0
     w = Window.partitionBy("category").orderBy(F.col("composite_score").desc(), "seq")
     ranked = fields.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_quota)
     q = F.broadcast(quotas.select("category", "quota"))

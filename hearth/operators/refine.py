@@ -33,6 +33,7 @@ COVERAGE_TARGET = 0.85
 INFERRED_PER_SEED = 5
 RANDOM_STATE = 42
 ABSOLUTE_MAX = 2000
+DEFAULT_CAP = 50  # fixed value: households sampled of a cluster without a cap
 MAX_PERSONAS_COLLECTED = 100_000
 MAX_SEEDS = 200_000
 
@@ -71,19 +72,6 @@ def adaptive_sample_sizes(sizes: DataFrame, epsilon: Column | float | None = Non
     return s.select("cluster", "n", eps.alias("epsilon"), cap.cast("long").alias("cap"))
 
 
-def _allow_group_limit(spark, limit: int) -> None:
-    """Spark only inserts the map-side window group limit below
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (default 1000); raise it
-    so per-cluster caps up to ``limit`` are also cut before the shuffle."""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    try:
-        cur = int(spark.conf.get(key))
-    except Exception:  # noqa: BLE001 - unset / older versions
-        cur = 1000
-    if cur <= limit:
-        spark.conf.set(key, str(limit + 1))
-
-
 def sample_key(seed: Column | int | str, hid: Column) -> Column:
     """Portable pseudo-random order: md5('<seed>:<hid>') (same rows in any engine)."""
     sd = seed if isinstance(seed, Column) else F.lit(str(seed))
@@ -107,19 +95,23 @@ def iteration_seed(cluster: Column, iteration: int, random_state: int = RANDOM_S
 
 
 def capped_cluster_sample(need: DataFrame, caps: DataFrame, iteration: int, label: str = "cluster",
-                          id_col: str = "hid", max_cap: int = ABSOLUTE_MAX) -> DataFrame:
+                          id_col: str = "hid", default_cap: int = DEFAULT_CAP) -> DataFrame:
     """Per cluster at most ``cap`` of the households needing validation,
-    seeded by (random_state, iteration, cluster).  Adds ``sampled_down``
-    (the cluster had more candidates than its cap)."""
+    seeded by (random_state, iteration, cluster); a cap of 0 or less takes all,
+    a cluster without a cap row gets ``default_cap``.  Adds ``sampled_down``
+    (the cluster had more candidates than its cap).  Where every cap is
+    positive, ranks beyond the largest are cut before the shuffle."""
     c = F.broadcast(caps.select(F.col("cluster").alias(label), "cap"))  # one row per cluster
-    _allow_group_limit(need.sparkSession, max_cap)
+    bounds = caps.agg(F.max("cap").alias("hi"), F.min("cap").alias("lo")).first()
     w = Window.partitionBy(label).orderBy(sample_key(iteration_seed(F.col(label), iteration), F.col(id_col)),
                                           F.col(id_col))
-    ranked = need.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_cap)
+    ranked = need.withColumn("_r", F.row_number().over(w))
+    if bounds["lo"] is None or bounds["lo"] > 0:
+        ranked = ranked.where(F.col("_r") <= max(bounds["hi"] or 0, default_cap))
     cnt = need.groupBy(label).agg(F.count(F.lit(1)).alias("_need"))
-    out = ranked.join(c, label, "left").join(cnt, label, "left")
-    return out.where(F.col("cap").isNull() | (F.col("cap") <= 0) | (F.col("_r") <= F.col("cap"))) \
-        .withColumn("sampled_down", F.coalesce(F.col("cap") < F.col("_need"), F.lit(False))) \
+    out = ranked.join(c, label, "left").join(cnt, label, "left").withColumn("cap", F.coalesce("cap", F.lit(default_cap)))
+    return out.where((F.col("cap") <= 0) | (F.col("_r") <= F.col("cap"))) \
+        .withColumn("sampled_down", (F.col("cap") > 0) & (F.col("cap") < F.col("_need"))) \
         .drop("_r", "_need", "cap")
 
 

@@ -142,6 +142,5 @@ def q_w8(spark, sf_dir):
 def q_c14(spark, sf_dir):
     from hearth.plans.cluster_job import run_cluster_job
     h = households(spark, sf_dir)
-    res = run_cluster_job(h, id_col="hid", excluded_patterns=pf.DEFAULT_EXCLUDED_PATTERNS + [r"o_"],
-                          n_init=4, max_iter=30)
+    res = run_cluster_job(h, id_col="hid", excluded_patterns=pf.DEFAULT_EXCLUDED_PATTERNS + [r"o_"])
     return res.profiles

@@ -77,18 +77,18 @@ def q_clustering_cost(spark, sf_dir):
 
 def _fit_labels(spark, sf_dir, num, cat, k, n_init):
     f = features(spark, sf_dir, num, cat)
-    res = kp.fit(f, num, cat, k, n_init=n_init, max_iter=30)
+    res = kp.fit(f, num, cat, k, n_init=n_init)
     return kp.assign(f, num, cat, res.centroids)
 
 
 @register("kprototypes_fit")
 def q_kprototypes_fit(spark, sf_dir):
-    return _fit_labels(spark, sf_dir, NUM, CAT, 4, 3)
+    return _fit_labels(spark, sf_dir, NUM, CAT, 4, 10)
 
 
 @register("kmodes_fit")
 def q_kmodes_fit(spark, sf_dir):
-    return _fit_labels(spark, sf_dir, [], CAT + ["ret_status"], 4, 2)
+    return _fit_labels(spark, sf_dir, [], CAT + ["ret_status"], 4, 5)
 
 
 @register("cao_init")

@@ -200,7 +200,7 @@ def q_c12(spark, sf_dir):
     f = features(spark, sf_dir, [], cat).persist()
     rows = []
     for k in range(2, 7):
-        res = kp.fit(f, [], cat, k, n_init=2, max_iter=15)
+        res = kp.fit(f, [], cat, k)
         rows.append((k, float(res.cost)))
     f.unpersist()
     kt = spark.createDataFrame(rows, "k int, cost double")

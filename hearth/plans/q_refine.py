@@ -445,7 +445,7 @@ def q_r6(spark, sf_dir):
     slots = 12 - 7
     kmax = min(max(2, min(10, n - 1)), max(2, slots))
     sel = [{"field_name": c, "type": "continuous"} for c in NUM] + [{"field_name": c, "type": "categorical"} for c in CAT]
-    res = run_cluster_job(subset, selection=sel, excluded_patterns=[], max_k=kmax, n_init=2, max_iter=20)
+    res = run_cluster_job(subset, selection=sel, excluded_patterns=[], max_k=kmax)
     lab = res.labels
     sizes = lab.where(F.col("cluster") != -1).groupBy(F.col("cluster").alias("local_cluster")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -140,24 +140,16 @@ def restrict_columns(df: DataFrame, *lists: Sequence[str] | None) -> DataFrame:
 
 def resolve_id_column(columns: Sequence[str], requested: str | None = "fid", dataset: str | None = None,
                       require_present: bool = False) -> str | None:
-    """Requested column if present, else the dataset's candidates
-    (exact, then case-insensitive); KeyError when required and absent."""
-    cols = list(columns)
-    if requested and requested in cols:
-        return requested
-    ds = (dataset or "").strip().lower() or None
-    cands = ([requested] if requested else []) + ID_CANDIDATES.get(ds, ID_CANDIDATES[None])
-    lower = {c.lower(): c for c in cols}
-    for c in cands:
-        if not c:
-            continue
-        if c in cols:
-            return c
-        if c.lower() in lower:
-            return lower[c.lower()]
-    if require_present:
-        raise KeyError(f"no household id column for dataset={ds!r}, requested={requested!r}")
-    return requested
+    """Of the columns that spell a wanted name in any case, the one that
+    ranks best: by place in the list of wanted names (the requested one first,
+    then the dataset's), then exact spelling, then the rightmost column."""
+    key = (dataset or "").strip().lower()
+    wanted = [n for n in [requested, *ID_CANDIDATES.get(key or None, ID_CANDIDATES[None])] if n]
+    place = {n.lower(): (i, n) for i, n in reversed(list(enumerate(wanted)))}
+    ranked = [(place[c.lower()][0], c != place[c.lower()][1], -at, c) for at, c in enumerate(columns) if c.lower() in place]
+    if not ranked and require_present:
+        raise KeyError(f"none of {wanted} is a column (dataset {key or 'not given'})")
+    return min(ranked)[-1] if ranked else requested
 
 
 def dataset_key_from_path(path: str, *extra: str) -> str | None:
