@@ -45,10 +45,10 @@ def family(text: str | None) -> int:
 class LabelModel:
     """Posterior of the class from votes ``v`` (rows x voters, 0/1) and noisy labels ``y``."""
 
-    def __init__(self, v: np.ndarray, y: np.ndarray, rounds: int = 25):
+    def __init__(self, v: np.ndarray, y: np.ndarray, rounds: int = 300):
         n = len(y)
         p = np.where(y == 1, 0.95, 0.05)
-        for _ in range(rounds):
+        for turn in range(rounds):
             one, zero = p.sum(), (1 - p).sum()
             self.prior = (one + 1) / (n + 2)
             # rates at which each voter fires in either class, and labels say "toxic"
@@ -56,10 +56,11 @@ class LabelModel:
             self.said1 = np.clip((p @ y + 1) / (one + 2), 0.6, 0.995)
             self.said0 = np.clip(((1 - p) @ y + 1) / (zero + 2), 0.005, 0.4)
             # correlations left between voters given the class: one vote in many guises counts once
-            left = v - np.outer(p, self.fires1) - np.outer(1 - p, self.fires0)
-            spread = np.sqrt((left ** 2).mean(axis=0) + 1e-9)
-            corr = (left.T @ left) / n / np.outer(spread, spread)
-            self.weight = 1.0 / np.maximum(np.where(corr > DEPENDENT, corr, 0).sum(axis=1), 1.0)
+            if turn % 10 == 0:
+                left = v - np.outer(p, self.fires1) - np.outer(1 - p, self.fires0)
+                spread = np.sqrt((left ** 2).mean(axis=0) + 1e-9)
+                corr = (left.T @ left) / n / np.outer(spread, spread)
+                self.weight = 1.0 / np.maximum(np.where(corr > DEPENDENT, corr, 0).sum(axis=1), 1.0)
             odds = (np.log(self.prior / (1 - self.prior))
                     + v @ (self.weight * np.log(self.fires1 / self.fires0))
                     + (1 - v) @ (self.weight * np.log((1 - self.fires1) / (1 - self.fires0)))

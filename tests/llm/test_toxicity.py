@@ -28,12 +28,18 @@ def test_label_model_discounts_copies_of_a_voter():
 
 
 def test_edges(spark):
-    bad = [(i, f"you are an utter nitwit today {i}", "s") for i in range(0, 400, 4)]
-    fine = [(i, f"some words about the weather number {i}", "s") for i in range(400) if i % 4]
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("aeioubdlmnrst"), 5)) for _ in range(200)]
+    talk = {i: " ".join(rng.choice(plain, 12)) for i in range(400)}
+    bad = [(i, talk[i] + " nitwit " + talk[i + 1], "s") for i in range(0, 400, 4)]
+    fine = [(i, talk[i] + " weather", "s") for i in range(400) if i % 4]
+    # a group of copies teaches no more than one document
+    bad += [(i, "copied again and again " + talk[3], "s") for i in range(1000, 1200, 4)]
     d = docs(spark, bad + fine).withColumn("y", F.lit("clash")).withColumn("t", F.lit(0))
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)] + [(None, 1, 1), (1, 1, None), (9999, 1, 1)],
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)] + [(i, 1, 1) for i in range(1000, 1200, 4)] + [(None, 1, 1), (1, 1, None), (9999, 1, 1)],
                                    "doc_id long, quality int, toxic int")
     scorer = learn_toxicity(d, labels)
+    assert "nitwit" in scorer.voters and "copied" not in scorer.voters
     rows = [(1, None), (2, ""), (3, "A NITWIT!"), (3, "A NITWIT!"), (None, "fine weather"), (4, "weather " * 50_000 + "nitwit")]
     got = score_toxicity(docs(spark, rows).withColumn("score", F.lit(1)), scorer).collect()
     assert got[0]["score"] == got[1]["score"] < 0.1 and got[2] == got[3] and got[2]["score"] > 0.7 > got[4]["score"] and got[5]["score"] > 0.7
