@@ -84,9 +84,11 @@ def composite_score(importance: Column, usable: Column, quality_filter: bool = T
     return imp * 10 * 0.7 + F.coalesce(usable, F.lit(100.0)) * 0.3
 
 
-def dedupe_first(candidates: DataFrame, quality_filter: bool = True) -> DataFrame:
+def dedupe_first(candidates: DataFrame, quality_filter: bool = True, columns: list[str] | None = None) -> DataFrame:
     """W1 (+T6-T8, A6): first row per var_id by ``seq``; blank ids skipped; rows
-    whose importance does not parse are skipped *before* they count as seen."""
+    whose importance does not parse are skipped *before* they count as seen.
+    ``columns`` are the ones to carry (default all): name them, so that texts
+    nobody asks for are neither read nor shuffled."""
     c = candidates.where(F.col("var_id").isNotNull() & (F.trim(F.col("var_id")) != ""))
     imp_txt = F.col("importance_score").cast("string")
     imp = parse_score(imp_txt)
@@ -94,7 +96,7 @@ def dedupe_first(candidates: DataFrame, quality_filter: bool = True) -> DataFram
     c = c.withColumn("importance", imp).withColumn("usable", parse_percent(F.col("usable_percentage")))
     c = c.withColumn("data_type", normalize_data_type(F.col("category"), F.col("data_type")))
     c = c.withColumn("composite_score", composite_score(F.col("importance"), F.col("usable"), quality_filter))
-    cols = [x for x in c.columns if x != "var_id"]
+    cols = [x for x in (columns or c.columns) if x != "var_id"]
     first = c.groupBy("var_id").agg(F.min_by(F.struct(*cols), F.col("seq")).alias("r"))
     return first.select("var_id", "r.*")
 

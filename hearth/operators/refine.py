@@ -239,7 +239,14 @@ def initial_mapping(df: DataFrame, cmap: DataFrame, label: str = "cluster") -> D
 def _similar_partition(seeds: pd.DataFrame, stds: dict, num: list[str], cat: list[str], k: int):
     seed_groups = {c: g for c, g in seeds.groupby("cluster")}
 
+    def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+        every = pd.concat(found, ignore_index=True)
+        every = every.sort_values(["seed_hid", "similarity", "hid"], ascending=[True, False, True])
+        return every.groupby("seed_hid", sort=False).head(k)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[pd.DataFrame] = []  # the task's best per seed so far, and newer finds
+        kept = 0
         for b in batches:
             for cl, rows in b.groupby("cluster"):
                 sg = seed_groups.get(cl)
@@ -286,8 +293,14 @@ def _similar_partition(seeds: pd.DataFrame, stds: dict, num: list[str], cat: lis
                         out_v += sim[i, sel].tolist()
                         out_u += (n_used[i, sel] + c_used[i, sel]).tolist()
                     if out_s:
-                        yield pd.DataFrame({"seed_hid": out_s, "hid": out_c, "similarity": out_v,
-                                            "fields_used": out_u})
+                        found.append(pd.DataFrame({"seed_hid": out_s, "hid": out_c, "similarity": out_v,
+                                                   "fields_used": out_u}))
+                        kept += len(out_s)
+                    if kept > 4 * k * len(seeds) + 100_000:
+                        found = [best(found)]
+                        kept = len(found[0])
+        if found:
+            yield best(found)
     return run
 
 
@@ -299,7 +312,7 @@ def similar_outliers(cluster_rows: DataFrame, candidates: DataFrame, seeds: Data
     both sides, z by the cluster's population std (<= 1e-12 -> 1);
     similarity = 1 / (1 + distance); ties -> smaller hid.  Seeds are bounded
     by the per-cluster sample caps and are shipped to the tasks; every
-    candidate partition keeps only its own top ``k`` per seed (numpy, in
+    candidate task keeps and emits only its own top ``k`` per seed (numpy, in
     blocks), so no seed x candidate pair ever becomes a row; a final
     per-seed top ``k`` merges the partial lists.
     """

@@ -387,8 +387,7 @@ def q_a24(spark, sf_dir):
 def q_refine_loop(spark, sf_dir):
     """R10 (property-checked): households_labeled through the bulk-synchronous loop."""
     from hearth.plans.refine_loop import fit_table_scorer, run_refinement
-    res = run_refinement(labeled(spark, sf_dir), NUM, CAT, fit_table_scorer(fit_expr), max_iterations=3,
-                         outlier_cap=500)
+    res = run_refinement(labeled(spark, sf_dir), NUM, CAT, fit_table_scorer(fit_expr), max_iterations=3)
     return res.mapping
 
 

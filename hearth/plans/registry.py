@@ -35,4 +35,5 @@ def load_all() -> None:
         q_sweep,
         q_clean,
         q_persona,
+        q_guides,
     )
