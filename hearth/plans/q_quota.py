@@ -56,8 +56,12 @@ def q(body: str) -> str:
     return with_views(body, "candidates", "codebook", extra=CTES)
 
 
+# all but the long texts
+CARRIED = ["seq", "dataset", "var_name", "short_label", "category", "data_type", "importance", "usable", "composite_score"]
+
+
 def _fields(spark, sf_dir):
-    return qo.dedupe_first(qo.drop_unscored(candidates(spark, sf_dir)))
+    return qo.dedupe_first(qo.drop_unscored(candidates(spark, sf_dir)), columns=CARRIED)
 
 
 def _quotas(spark, sf_dir):
