@@ -183,13 +183,12 @@ def detect_categories(fields: DataFrame, metadata: DataFrame | None = None) -> D
     """Categories present among ``fields(field)`` (profile keys and sample
     columns): metadata categories of the base names (``_mean/_median/_mode``
     stripped, not ``_std``) plus name-keyword rules.  The keyword table is a
-    small fixed dimension (broadcast); returns distinct ``category`` rows."""
-    spark = fields.sparkSession
-    kw = spark.createDataFrame([(c, t) for c, toks in CATEGORY_KEYWORDS.items() for t in toks],
-                               "category string, token string")
+    small fixed literal; returns distinct ``category`` rows."""
     f = fields.select(F.col("field").cast("string").alias("field"))
-    by_kw = f.join(F.broadcast(kw), F.contains(F.lower(F.col("field")), F.col("token"))).select("category")
-    out = by_kw
+    low = F.lower(F.col("field"))
+    named = F.array(*[F.when(F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(low, t)), F.lit(c))
+                      for c, tokens in CATEGORY_KEYWORDS.items()])
+    out = f.select(F.explode(F.array_compact(named)).alias("category"))
     if metadata is not None:
         base = F.regexp_replace(F.col("field"), r"_(mean|median|mode)$", "")
         meta = metadata.select(F.col("var_id").alias("base"), F.col("category").alias("mcat"))

@@ -60,8 +60,8 @@ def q(body: str) -> str:
 CARRIED = ["seq", "dataset", "var_name", "short_label", "category", "data_type", "importance", "usable", "composite_score"]
 
 
-def _fields(spark, sf_dir):
-    return qo.dedupe_first(qo.drop_unscored(candidates(spark, sf_dir)), columns=CARRIED)
+def _fields(spark, sf_dir, *more):
+    return qo.dedupe_first(qo.drop_unscored(candidates(spark, sf_dir)), columns=[*CARRIED, *more])
 
 
 def _quotas(spark, sf_dir):
@@ -69,8 +69,8 @@ def _quotas(spark, sf_dir):
     return qo.quota_remainder(qo.quota_allocation(qo.category_stats(f)))
 
 
-def _chosen(spark, sf_dir):
-    f = _fields(spark, sf_dir)
+def _chosen(spark, sf_dir, *more):
+    f = _fields(spark, sf_dir, *more)
     return qo.top_n_per_group(f, qo.quota_remainder(qo.quota_allocation(qo.category_stats(f))))
 
 
@@ -171,5 +171,5 @@ def q_category_digest(spark, sf_dir):
     coalesce(nullif(cb.description, ''), c.description) AS description
     FROM chosen c LEFT JOIN codebook cb ON trim(c.var_id) = trim(cb.var_id)"""))
 def q_align(spark, sf_dir):
-    return qo.align_with_codebook(_chosen(spark, sf_dir), codebook(spark, sf_dir)).select(
+    return qo.align_with_codebook(_chosen(spark, sf_dir, "description"), codebook(spark, sf_dir)).select(
         "var_id", "seq", "var_name", "description")

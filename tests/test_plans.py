@@ -1,8 +1,9 @@
 """Plan-shape guards: no cartesian / nested-loop joins anywhere; per-group
 top-n and samples are limited map-side before their shuffle."""
 
-import __spark_entry__ as entry
+from hearth.plans.registry import QUERIES, load_all
 
+load_all()
 SF = "/root/testdata/sf0.001"
 # iterative jobs run their fits while building the plan; their joins are the same operators checked here
 SKIP = {"refine_loop", "cluster_pipeline", "k_sweep_fit", "recluster_outliers", "k_sweep_kmodes",
@@ -10,12 +11,12 @@ SKIP = {"refine_loop", "cluster_pipeline", "k_sweep_fit", "recluster_outliers",
 
 
 def _plan(spark, key):
-    return entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_cross_joins(spark):
     bad = []
-    for key in entry.queries():
+    for key in QUERIES:
         if key in SKIP:
             continue
         plan = _plan(spark, key)
