@@ -260,6 +260,14 @@ def near_links(fps: DataFrame, distance: int = 4, bucket_rows: int = 20000, samp
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(verify, "u long, v long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and marked for broadcast if it has few rows.  Beyond
+    that it is a side of a plain join, whose hot keys Spark can split, as the
+    aggregation that made it is done."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, root) for each row of ``docs(doc_id, text)``: the
     smallest doc_id that can be reached over links of at most ``distance`` bits.
@@ -276,7 +284,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
               .select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
     heads = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("rows"))
     # only fingerprints with company need the join; of all others the document is its own component
-    company = rooted.join(heads.where(F.col("rows") > 1), "root").select("fp", "root", "component_id")
+    company = _small(rooted.join(_small(heads.where(F.col("rows") > 1)), "root").select("fp", "root", "component_id"))
     return own.join(company, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("component_id", "doc_id").alias("component_id"),
                                                   F.coalesce(F.col("root"), F.col("fp")).alias("root"))
 
@@ -289,10 +297,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     groups = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     heads = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("head"), F.sum("n").alias("rows"))
     # only components of several rows lose any
-    judged = groups.join(heads.where(F.col("rows") > 1), "root").select(
+    judged = groups.join(_small(heads.where(F.col("rows") > 1)), "root").select(
         "doc_id", "text_hash", "n", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("stays"))
-    judged = cut_lineage(judged.where(~F.col("stays") | (F.col("n") > 1)))
-    judged = F.broadcast(judged) if judged.count() <= BROADCAST_ROWS else judged
+    judged = _small(judged.where(~F.col("stays") | (F.col("n") > 1)))
     mark = fresh(docs, "text_hash")
     told = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).alias("d")
 
