@@ -192,18 +192,12 @@ def q_w18(spark, sf_dir):
 
 @register("k_sweep_kmodes")
 def q_c12(spark, sf_dir):
-    """Cost-only k-modes sweep (k = 2..6) and its elbow (property-checked)."""
-    from hearth.operators import kprototypes as kp
+    """Cost-only k-modes sweep (k = 2..15) and its elbow (property-checked)."""
     from hearth.operators import kselect as ks
+    from hearth.plans.k_sweep import kmodes_sweep
     from hearth.plans.q_kproto import features
     cat = ["status", "priority", "ret_status"]
-    f = features(spark, sf_dir, [], cat).persist()
-    rows = []
-    for k in range(2, 7):
-        res = kp.fit(f, [], cat, k)
-        rows.append((k, float(res.cost)))
-    f.unpersist()
-    kt = spark.createDataFrame(rows, "k int, cost double")
+    kt = kmodes_sweep(features(spark, sf_dir, [], cat), cat)
     e = ks.elbow(kt).collect()[0]["elbow_k"]
     return kt.withColumn("elbow_k", F.lit(e))
 
