@@ -385,9 +385,9 @@ def q_a24(spark, sf_dir):
 
 @register("refine_loop")
 def q_refine_loop(spark, sf_dir):
-    """R10 (property-checked): households_labeled through the bulk-synchronous loop."""
+    """R10 (property-checked): households_labeled through the bulk-synchronous loop until it converges or stalls."""
     from hearth.plans.refine_loop import fit_table_scorer, run_refinement
-    res = run_refinement(labeled(spark, sf_dir), NUM, CAT, fit_table_scorer(fit_expr), max_iterations=3)
+    res = run_refinement(labeled(spark, sf_dir), NUM, CAT, fit_table_scorer(fit_expr), max_iterations=None)
     return res.mapping
 
 
