@@ -8,8 +8,11 @@ share neither first nor last character.  A rendering that does not begin with
 the one before it shows a template that rewrites history.
 
 Long conversations are rendered over a sliding window of ``window`` turns, so
-neither memory nor time grows with the square of their length; the rows of a
-conversation stream through one sorted partition and only digests are kept.
+time does not grow with the square of their length.  Whether the window holds
+is checked: at doublings of its length and at the conversation's end the whole
+prefix is rendered and compared with the pieces.  Where they differ (the
+template looks further back) that conversation is done again with its true
+prefixes.  One conversation at a time is held in memory.
 """
 
 from __future__ import annotations
@@ -73,7 +76,7 @@ def _common(a: str, b: str) -> int:
 class Incremental:
     """Feeds one conversation to a template, turn by turn."""
 
-    def __init__(self, render: Render, loss_roles: tuple[str, ...] = ("assistant",), window: int = 32):
+    def __init__(self, render: Render, loss_roles: tuple[str, ...] = ("assistant",), window: int | None = 32):
         self.render, self.loss_roles, self.window = render, loss_roles, window
         self.messages: list[tuple[str, str]] = []
         self.before = render([])
@@ -84,7 +87,7 @@ class Incremental:
         """(what this turn appends, span of its text inside that, if it is under
         the loss).  A turn after which an earlier part reads differently sets
         ``rewrites`` and has no trustworthy span."""
-        if len(self.messages) >= self.window:
+        if self.window and len(self.messages) >= self.window:
             # restart on the later half: an appended piece may look back over at most that many turns
             self.messages = self.messages[self.window // 2:]
             self.before = self.render(self.messages)
@@ -102,23 +105,48 @@ class Incremental:
         return piece, span
 
 
+def _pieces(messages: list[tuple[str, str]], render: Render, loss_roles: tuple[str, ...],
+            window: int | None) -> tuple[list[tuple[str, tuple[int, int] | None]], bool]:
+    """(piece, span) of every turn, the opening in the first piece, and whether
+    the template rewrites history; then the last piece is the whole rendering,
+    the others are empty and no span is given."""
+    inc = Incremental(render, loss_roles, window)
+    out, whole, check = [], [], window
+    for n, (role, text) in enumerate(messages, 1):
+        piece, span = inc.add(role, text)
+        if n == 1:
+            shift = len(inc.opening)
+            piece, span = inc.opening + piece, span and (span[0] + shift, span[1] + shift)
+        out.append((piece, span))
+        whole.append(piece)
+        if inc.rewrites:
+            break
+        if window and n > window and (n >= 2 * check or n == len(messages)):
+            check = n
+            if "".join(whole) != render(messages[:n]):
+                return _pieces(messages, render, loss_roles, None)
+    if not inc.rewrites:
+        return out, False
+    if window and len(out) > window:  # only the window may have shown it: true prefixes decide
+        return _pieces(messages, render, loss_roles, None)
+    return [("", None)] * (len(messages) - 1) + [(render(messages), None)], True
+
+
 def format_messages(messages: list[tuple[str, str]], render: Render = turn_template,
                     loss_roles: tuple[str, ...] = ("assistant",), window: int = 32) -> dict:
     """One conversation: ``formatted``, ``spans`` of the loss in it (code points), ``rewrites``.
 
     When the template rewrites history the whole conversation is rendered once
     more and no span is given."""
-    inc = Incremental(render, loss_roles, window)
-    parts, spans, at = [inc.opening], [], len(inc.opening)
-    for role, text in messages:
-        piece, span = inc.add(role, text)
+    if not messages:
+        return {"formatted": render([]), "spans": [], "rewrites": False}
+    pieces, rewrites = _pieces(messages, render, loss_roles, window)
+    spans, at = [], 0
+    for piece, span in pieces:
         if span:
             spans.append((at + span[0], at + span[1]))
-        parts.append(piece)
         at += len(piece)
-    if inc.rewrites:
-        return {"formatted": render(messages), "spans": [], "rewrites": True}
-    return {"formatted": "".join(parts), "spans": spans, "rewrites": False}
+    return {"formatted": "".join(p for p, _ in pieces), "spans": spans, "rewrites": rewrites}
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
@@ -138,7 +166,9 @@ def format_conversations(conversations: DataFrame, render: Render = turn_templat
     """One row per turn of ``conversations(conv_id, turn, role, text)``: conv_id,
     turn_no (from 0), role, piece (what the turn appends to the formatted
     conversation), loss_from / loss_to (span inside the piece, null outside the
-    loss), rewrites.  Concatenated pieces are the formatted conversation.
+    loss), rewrites.  Concatenated pieces are the formatted conversation; where
+    the template rewrites history, all rows say so and the last one's piece is
+    the whole rendering.
 
     Null roles and texts are empty; a null conv_id is a conversation of its
     own; rows of one turn come in (role, text) order and repeated rows are
@@ -146,12 +176,10 @@ def format_conversations(conversations: DataFrame, render: Render = turn_templat
     def run(batches):
         out = []
         for conv, turns in groupby(_turns(batches), key=lambda x: x[0]):
-            inc = Incremental(render, loss_roles, window)
-            for n, (_, role, text) in enumerate(turns):
-                piece, span = inc.add(role, text)
-                piece = inc.opening + piece if n == 0 else piece
-                shift = len(inc.opening) if n == 0 else 0
-                out.append((conv, n, role, piece, span and span[0] + shift, span and span[1] + shift, inc.rewrites))
+            said = [(role, text) for _, role, text in turns]
+            pieces, rewrites = _pieces(said, render, loss_roles, window)
+            for n, ((role, _), (piece, span)) in enumerate(zip(said, pieces)):
+                out.append((conv, n, role, piece, span and span[0], span and span[1], rewrites))
                 if len(out) >= 1000:
                     yield _batch(out)
                     out = []

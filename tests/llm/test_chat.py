@@ -46,3 +46,27 @@ def test_edges(spark):
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 0 and got[None]["n_turns"] == 1 and got[2]["loss_chars"] == 0
     assert got[9]["n_turns"] == 300 and got[9]["loss_chars"] == sum(len(r[3]) for r in long if r[2] == "assistant")
     assert digest_conversations(format_conversations(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_templates_that_look_beyond_the_window(spark):
+    talk = [("assistant" if i % 2 else "user", f"t{i}") for i in range(71)]
+
+    def numbered(messages):
+        return "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(messages))
+
+    def led(messages):  # every turn names the first one
+        return "".join(f"{r}: {t} <{messages[0][1]}>\n" for r, t in messages)
+
+    def counted(messages):  # rewrites the first turn only once it has left the window
+        return "".join(f"{r}: {t}{len(messages) if i == 0 and len(messages) > 40 else ''}\n" for i, (r, t) in enumerate(messages))
+
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    for template in (numbered, led, counted):
+        got = format_messages(talk, template)
+        assert got["formatted"] == template(talk) and got["rewrites"] == (template is counted)
+        cut = [got["formatted"][a:b] for a, b in got["spans"]]
+        assert cut == ([] if template is counted else [t for r, t in talk if r == "assistant"])
+        pieces = format_conversations(rows, template).orderBy("turn_no").collect()
+        assert "".join(p["piece"] for p in pieces) == template(talk) and len(pieces) == 71
+        assert {p["rewrites"] for p in pieces} == {template is counted}
+        assert [p["piece"][p["loss_from"]:p["loss_to"]] for p in pieces if p["loss_from"] is not None] == cut
