@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from hearth.llm.common import held_out, labelled_sample, table
 from hearth.llm.linear import fit_logistic, sigmoid
 from hearth.llm.registry import register
+from hearth.session import cut_lineage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -138,7 +139,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
                    voters: int = 300, least: int = 4, gain: float = 25.0, seed: int = 29) -> Scorer:
     """Learns from at most ``rows`` labelled documents (``labels(doc_id,
     toxic)``) whose crc32(doc_id) mod ``modulus`` is not ``remainder``, one of
-    each family of copies.  The bound is the same at every input size; what
+    each family of copies; of rows that share a doc_id, the one with the
+    smallest hash of its text stands for all.  The bound is the same at every input size; what
     reaches the driver is at most ``rows`` lists of votes of ``voters`` voters."""
     sample = labelled_sample(labels, "toxic", modulus, remainder, rows, seed)
 
@@ -148,12 +150,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
                                              ["doc_id", "y", "family"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = texts.join(F.broadcast(sample), "doc_id")  # at most ``rows`` pairs of numbers
+    told = cut_lineage(told.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     heads = (told.select("doc_id", "text", "y").mapInArrow(kin, "doc_id long, y int, family long")
              .groupBy("family", "y").agg(F.min("doc_id").alias("doc_id")))
     chosen = heads.select("doc_id", "y").toPandas().sort_values(["doc_id", "y"])  # at most ``rows`` pairs of numbers
     spark = docs.sparkSession
     heads = F.broadcast(spark.createDataFrame(list(chosen.itertuples(index=False, name=None)), "doc_id long, y int"))
-    told = texts.join(heads, "doc_id")
+    told = told.join(heads, ["doc_id", "y"])
     found = mine_voters(told, voters, least, gain)
     probe = Scorer(found, np.zeros((0, len(found))), np.zeros(0))
 

@@ -46,3 +46,20 @@ def test_edges(spark):
     assert score_toxicity(docs(spark, []), scorer).count() == 0
     none = learn_toxicity(d, labels.limit(0))
     assert {r["score"] for r in score_toxicity(docs(spark, rows), none).collect()} == {0.5}
+
+
+def test_a_repeated_doc_id_counts_once(spark, monkeypatch):
+    from hearth.llm import toxicity
+    seen, scorer = [], toxicity.Scorer
+
+    def spy(found, votes, y):
+        seen.append(len(y))
+        return scorer(found, votes, y)
+    monkeypatch.setattr(toxicity, "Scorer", spy)
+    told = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    rng = np.random.default_rng(3)
+    own = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(400)]
+    text = lambda: " ".join(rng.choice(own, 30))
+    rows = [(0, text()) for _ in range(300)] + [(i, text()) for i in range(1, 12)]
+    learn_toxicity(docs(spark, rows), told, remainder=3)
+    assert seen[-1] == 12
