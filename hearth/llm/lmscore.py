@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from hearth.llm.common import held_out, table
 from hearth.llm.registry import register
-from hearth.llm.words import Tally, WordHash, lowered, mix, pair, slices, word_pattern
+from hearth.llm.words import Cutter, Tally, mix, pair, slices
 from hearth.session import cut_lineage
 
 END, BEGIN, FOLLOWERS = (np.uint64(x) for x in (0xE0D0E0D0E0D0E0D1, 0xB0E6B0E6B0E6B0E7, 0xF0110F0110F01103))
@@ -50,12 +50,16 @@ class Tokens:
     """Hashes of the tokens of texts: the words, then one end each."""
 
     def __init__(self):
-        self.hashes, self.words = WordHash(), word_pattern()
+        self.cutter = Cutter()
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(token hashes of all texts, index of each text's first token)."""
-        each = [np.append(self.hashes.array(self.words.findall(lowered(t))), END) for t in texts]
-        return np.concatenate(each), np.cumsum([0] + [len(x) for x in each[:-1]])
+        words = self.cutter.cut(texts)
+        counts = np.bincount(words.owner, minlength=len(texts)) + 1
+        stops = np.cumsum(counts)
+        tokens = np.full(int(stops[-1]) if len(stops) else 0, END, np.uint64)
+        tokens[np.arange(len(words.hashes)) + words.owner] = words.hashes
+        return tokens, stops - counts
 
 
 def contexts(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ("mixing", "simhash", "toxicity", "topk", "decontaminate", "langid", "sharding", "chat", "quality",
-           "tokencount", "lmscore")
+           "tokencount", "lmscore", "divergence", "phrases")
 
 
 def register(key: str, sql: str | None = None):
