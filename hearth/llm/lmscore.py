@@ -3,8 +3,8 @@
 A bigram model of the training texts.  The count of every bigram is quantised
 to a level, and the events (bigram, 1) .. (bigram, level) are put into a Bloom
 filter; so is, for every context word, the level of its number of distinct
-followers.  A level is read back by probing (key, 1), (key, 2), ... until the
-first miss.  Counts of single tokens are kept exactly, as the base score asks
+followers.  A level is read back by probing (key, 1), (key, 2), (key, 4), ... until
+the first miss, and then between.  Counts of single tokens are kept exactly, as the base score asks
 for them.  The filter is made in parts (by context word; words too frequent
 for one part by bigram), each sized by its own number of events, so that it
 grows with the corpus; parts are broadcast in groups of bounded bytes, and
@@ -86,9 +86,9 @@ class Parts:
         return (mix(np.where(self.is_hot(context), bigram, context)) % self.count).astype(np.int64)
 
 
-def _events(keys: np.ndarray, level: int) -> np.ndarray:
+def _events(keys: np.ndarray, level: np.ndarray | np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(keys + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+        return mix(keys + level * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _positions(events: np.ndarray, size: np.ndarray | np.uint64, probe: int) -> np.ndarray:
@@ -104,7 +104,7 @@ def fill(keys: np.ndarray, levels: np.ndarray) -> tuple[bytes, int]:
         raise ValueError("a filter part has too many events: use smaller parts")
     bits = np.zeros(size // 8, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        events = _events(keys[levels >= level], level)
+        events = _events(keys[levels >= level], np.uint64(level))
         for probe in range(PROBES):
             at = _positions(events, np.uint64(size), probe)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
@@ -112,18 +112,32 @@ def fill(keys: np.ndarray, levels: np.ndarray) -> tuple[bytes, int]:
 
 
 def read_levels(bits: np.ndarray, offset: np.ndarray, size: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Level of each key whose part begins at byte ``offset`` and has ``size`` bits: probed
-    level by level until the first miss."""
-    out, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-    while len(live):
-        level += 1
-        events = _events(keys[live], level)
+    """Level of each key whose part begins at byte ``offset`` and has ``size`` bits.  All levels
+    up to a key's own are there, so a miss bounds it: levels 1, 2, 4, 8, ... are probed until
+    the first miss, then the levels between by halving."""
+    def there(at: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Which of the keys ``at`` have ``level``."""
+        found, live, events = np.zeros(len(at), bool), np.arange(len(at)), _events(keys[at], level)
         for probe in range(PROBES):
-            at = _positions(events, size[live], probe)
-            hit = (bits[offset[live] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            spot = _positions(events, size[at[live]], probe)
+            hit = (bits[offset[at[live]] + (spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live, events = live[hit], events[hit]
-        out[live] = level
-    return out
+        found[live] = True
+        return found
+    most = len(steps()) + 1
+    low, high = np.zeros(len(keys), np.int64), np.full(len(keys), most)
+    live, level = np.arange(len(keys)), 1
+    while len(live) and level < most:
+        hit = there(live, np.full(len(live), level, np.uint64))
+        low[live[hit]], high[live[~hit]] = level, level
+        live, level = live[hit], level * 2
+    open_keys = np.flatnonzero(high - low > 1)
+    while len(open_keys):
+        middle = (low[open_keys] + high[open_keys]) // 2
+        hit = there(open_keys, middle.astype(np.uint64))
+        low[open_keys[hit]], high[open_keys[~hit]] = middle[hit], middle[~hit]
+        open_keys = open_keys[high[open_keys] - low[open_keys] > 1]
+    return low
 
 
 @dataclass
@@ -329,9 +343,11 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = 256 << 20) -> Da
                     p = p1.copy()
                     mine = np.flatnonzero((where >= first) & (where < last) & (c_before > 0))
                     spot, size = offsets[where[mine] - first], sizes[where[mine]].astype(np.uint64)
-                    known = c[mine] > 0
+                    known = np.flatnonzero(c[mine] > 0)
                     d = np.zeros(len(mine), np.int64)
-                    d[known] = least[read_levels(bits, spot[known], size[known], keys[mine][known])]
+                    # each bigram once: the frequent ones have the most levels to read
+                    asked, one, back = np.unique(keys[mine][known], return_index=True, return_inverse=True)
+                    d[known] = least[read_levels(bits, spot[known][one], size[known][one], asked)][back]
                     d = np.minimum(d, np.minimum(c[mine], c_before[mine]))
                     t, is_hot = np.zeros(len(mine), np.int64), parts.is_hot(before[mine])
                     if is_hot.any():
