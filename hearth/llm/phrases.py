@@ -246,18 +246,21 @@ def mine_phrases(docs: DataFrame, min_count: int = 100, top: int = 2000, bits: i
     Null text is empty, a null lang is ``und``.  Words are cut at blanks inside pieces;
     repeated rows count as often as they stand there.  Ties in score go to the commoner
     phrase, then to the one that is less in bytes.  No rows, or nothing frequent: no rows.
-    Broadcast are five bit tables of ``bits`` bits, whatever the input."""
+    Broadcast are five bit tables of 64 bits for each frequent word, but of ``bits`` bits at most,
+    whatever the input (fuller tables let more phrases through to be counted)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    all_words = cut_lineage(count_words(rows))
-    totals = all_words.groupBy("lang").agg(F.sum("c").alias("n"))
-    words = cut_lineage(all_words.where(F.col("c") >= min_count)
-                        .withColumn("bucket", F.floor(4 * F.log2(F.col("c") / F.lit(float(min_count)))).cast("int")))
+    # the frequent words, and all others of a language as one sum
+    counted = cut_lineage(count_words(rows).groupBy("lang", F.when(F.col("c") >= min_count, F.col("word")).alias("word"))
+                          .agg(F.sum("c").alias("c")))
+    totals = counted.groupBy("lang").agg(F.sum("c").alias("n"))
+    words = counted.where(F.col("word").isNotNull()).withColumn("bucket", F.floor(4 * F.log2(F.col("c") / F.lit(float(min_count)))).cast("int"))
     before = W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     # one row per language and quarter octave of counts
     steps = cut_lineage(words.groupBy("lang", "bucket").agg(F.count("*").alias("words"), F.sum("c").alias("mass"), F.min("c").alias("least"))
                         .withColumn("words_before", F.coalesce(F.sum("words").over(before), F.lit(0)))
                         .withColumn("mass_before", F.coalesce(F.sum("mass").over(before), F.lit(0))).join(totals, "lang"))
+    bits = min(bits, 1 << max(16, (64 * words.count()).bit_length()))
     frontier = Frontier(bits)
     frontier.frequent.add_all(word_keys(words))
     reach = steps.select("lang", "n").distinct().withColumn("hi", F.lit(-1)).withColumn("settled", F.lit(False))
@@ -271,9 +274,11 @@ def mine_phrases(docs: DataFrame, min_count: int = 100, top: int = 2000, bits: i
         frontier.new = Bits(bits).add_all(word_keys(added))
         if frontier.new.bits.any():
             for m, found in ((2, frontier.two), (3, frontier.three)):
-                found.add_all(_hashed(rows, spark.sparkContext.broadcast(frontier), m).where(F.col("c") >= min_count).select("key"))
-            counted = cut_lineage(_spelled(rows, spark.sparkContext.broadcast(frontier)).where(F.col("a") >= min_count))
-            phrases = counted if phrases is None else phrases.unionByName(counted)
+                shared = spark.sparkContext.broadcast(frontier)
+                found.add_all(_hashed(rows, shared, m).where(F.col("c") >= min_count).select("key"))
+                shared.unpersist()
+            spelled = cut_lineage(_spelled(rows, spark.sparkContext.broadcast(frontier)).where(F.col("a") >= min_count))
+            phrases = spelled if phrases is None else phrases.unionByName(spelled)
             frontier.old.bits |= frontier.new.bits
         if phrases is None:
             break
