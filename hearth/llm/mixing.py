@@ -155,7 +155,8 @@ def _fill(pool: DataFrame) -> DataFrame:
     """Of the last blocks' documents ``pool(src, left, r, doc_id, size)``, those
     taken so that each source gets about ``left`` more words: by hashed
     sub-blocks as long as a pool is large, then one by one, the largest that
-    still fits first, and one document over if that is nearer than none."""
+    still fits first, and one document over if that is nearer than none.  Equal
+    documents are a unit of ``n`` copies, of which ``m`` are taken."""
     units = cut_lineage(pool.where((F.col("size") > 0) & (F.col("left") > 0))
                         .groupBy("src", "left", "r", "doc_id", "size").agg(F.count("*").alias("n")))
     taken: list[DataFrame] = []
@@ -166,22 +167,30 @@ def _fill(pool: DataFrame) -> DataFrame:
         order = W.partitionBy("src").orderBy("sub").rowsBetween(W.unboundedPreceding, 0)
         sums = (subs.groupBy("src", "left", "sub").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
                 .withColumn("upto", F.sum("words").over(order)))
-        subs = subs.join(F.broadcast(sums.select("src", "sub", "words", "upto")), ["src", "sub"])  # 64 rows per source
+        subs = subs.join(_small(sums.select("src", "sub", "words", "upto")), ["src", "sub"])  # 64 rows per source
         subs = cut_lineage(subs)
-        taken.append(subs.where(F.col("upto") <= F.col("left")).select("src", "r", "doc_id", "size"))
+        taken.append(subs.where(F.col("upto") <= F.col("left")).select("src", "r", "doc_id", "size", "n", F.col("n").alias("m")))
         edge = subs.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") < F.col("left")))
         units = cut_lineage(edge.select("src", (F.col("left") - F.col("upto") + F.col("words")).alias("left"), "r", "doc_id", "size", "n"))
-    unit = F.struct((-F.col("size") * F.col("n")).alias("w"), "r", "doc_id", "size")
+    unit = F.struct((-F.col("size")).alias("w"), "r", "doc_id", "n")
     lists = units.groupBy("src", "left").agg(F.array_sort(F.collect_list(unit)).alias("d"))
-    kind = "array<struct<w:bigint,r:bigint,doc_id:bigint,size:bigint>>"
+    kind = "array<struct<w:bigint,r:bigint,doc_id:bigint,n:bigint,m:bigint>>"
     start = F.struct(F.col("left").cast("double").alias("rest"), F.array().cast(kind).alias("take"))
-    fits = F.aggregate("d", start, lambda a, x: F.when(-x["w"] <= a["rest"], F.struct(
-        (a["rest"] + x["w"]).alias("rest"), F.array_append(a["take"], x).alias("take"))).otherwise(a))
-    lists = cut_lineage(lists.withColumn("f", fits))
+
+    def fit(a: Column, x: Column) -> Column:
+        def put(m: Column) -> Column:
+            return F.struct((a["rest"] + x["w"] * m).alias("rest"),
+                            F.array_append(a["take"], F.struct(x["w"].alias("w"), x["r"].alias("r"), x["doc_id"].alias("doc_id"), x["n"].alias("n"), m.alias("m"))).alias("take"))
+        return _let([F.least(x["n"], F.floor(a["rest"] / -x["w"])).cast("long")], put)
+    lists = cut_lineage(lists.withColumn("f", F.aggregate("d", start, fit)))
     # the smallest document left out, if with it the sum is nearer
-    out = F.array_except("d", "f.take")
-    last = F.when((F.size(out) > 0) & (-F.element_at(out, -1)["w"] < 2 * F.col("f.rest")), F.array(F.element_at(out, -1))).otherwise(F.array().cast(kind))
-    one = lists.select("src", F.explode(F.concat(F.col("f.take"), last)).alias("x")).select("src", "x.r", "x.doc_id", "x.size")
+    out = F.element_at(F.filter("f.take", lambda t: t["m"] < t["n"]), -1)
+    more = F.transform("f.take", lambda t: F.struct(
+        (-t["w"]).alias("size"), t["r"].alias("r"), t["doc_id"].alias("doc_id"), t["n"].alias("n"),
+        (t["m"] + F.when((t["r"] == F.col("last.r")) & (t["w"] == F.col("last.w")) & t["doc_id"].eqNullSafe(F.col("last.doc_id"))
+                         & (-t["w"] < 2 * F.col("f.rest")), 1).otherwise(0)).alias("m")))
+    lists = lists.withColumn("last", F.when(F.exists("f.take", lambda t: t["m"] < t["n"]), out))
+    one = (lists.select("src", F.explode(more).alias("x")).select("src", "x.r", "x.doc_id", "x.size", "x.n", "x.m").where(F.col("m") > 0))
     for t in taken:
         one = one.unionByName(t)
     return one
@@ -198,14 +207,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     0 is placed like the others of its block.  The words taken of a source miss
     its target by less than half of its smallest document left out.  A null
     source is a source of its own, a null doc_id is an id like any other.  Rows
-    that agree in doc_id, source and size are taken together.  No rows: no rows.
+    that agree in doc_id, source and text stand in one block; where only a part of the
+    block is taken, so many of them are as fit.  No rows: no rows.
     The result depends on rows and seed only.  Columns of ``docs`` called like
     an output column are replaced."""
     new = ("size", "source_size", "target", "placements")
     base = docs.drop(*[c for c in docs.columns if c.lower() in new])
     r, block, src = (fresh(base, c) for c in ("mix_r", "mix_block", "mix_src"))
     sized = (base.withColumn("size", word_count(F.col("text")))
-             .withColumn(r, F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "size")))
+             .withColumn(r, F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "size", F.col("text").cast("string"))))
     narrow = cut_lineage(sized.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), "size", F.col(r).alias("r")))
 
     sizes = narrow.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -240,10 +250,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
                     .agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "whole"))).alias("places")))
 
     # documents of the last, partial blocks
-    edge = slots.where(~F.col("whole")).select("src", "block", "left")
-    chosen = _small(_fill(placed.join(F.broadcast(edge), ["src", "block"]).select("src", "left", "r", "doc_id", "size"))  # one row per source
+    edge = _small(slots.where(~F.col("whole")).select("src", "block", "left"))
+    chosen = _small(_fill(placed.join(edge, ["src", "block"]).select("src", "left", "r", "doc_id", "size"))
                     .select(F.col("src").alias("c_src"), F.col("r").alias("c_r"), F.col("doc_id").alias("c_doc"),
-                            F.col("size").alias("c_size"), F.lit(True).alias("in_part")))
+                            F.col("size").alias("c_size"), F.col("n").alias("c_n"), F.col("m").alias("c_m")))
 
     out = (sized.alias("d").join(sources.select(F.col("source").alias("m_source"), F.col("src").alias("m_src"), F.col("blocks").alias("m_blocks"),
                                                 "source_size", "target"), F.col("source").cast("string").eqNullSafe(F.col("m_source")))
@@ -252,11 +262,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
                  (F.col("m_src") == F.col("p_src")) & (F.col("m_block") == F.col("p_block")), "left")
            .join(chosen, (F.col("m_src") == F.col("c_src")) & (F.col(r) == F.col("c_r")) & (F.col("size") == F.col("c_size"))
                  & F.col("doc_id").cast("long").eqNullSafe(F.col("c_doc")), "left"))
-    mine = F.filter(F.coalesce("places", F.array().cast("array<struct<epoch:bigint,shard:int,whole:boolean>>")),
-                    lambda p: p["whole"] | F.coalesce("in_part", F.lit(False)))
-    placements = F.transform(mine, lambda p: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"),
-                                                      F.xxhash64(F.lit(seed), p["shard"], p["epoch"], F.col(r)).alias("order_key")))
-    return out.select(*[F.col(f"d.{c}") for c in base.columns], "size", "source_size", "target", placements.alias("placements"))
+
+    def placed_rows(rows: DataFrame, in_part: Column) -> DataFrame:
+        mine = F.filter(F.coalesce("places", F.array().cast("array<struct<epoch:bigint,shard:int,whole:boolean>>")), lambda p: p["whole"] | in_part)
+        placements = F.transform(mine, lambda p: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"),
+                                                          F.xxhash64(F.lit(seed), p["shard"], p["epoch"], F.col(r)).alias("order_key")))
+        return rows.select(*[F.col(c) for c in base.columns], "size", "source_size", "target", placements.alias("placements"))
+    partly = F.coalesce(F.col("c_m") < F.col("c_n"), F.lit(False))
+    keep = out.select(*[F.col(f"d.{c}") for c in base.columns], F.col(f"d.{r}").alias(r), "size", "source_size", "target", "places", "c_src", "c_n", "c_m")
+    if chosen.where(F.col("c_m") < F.col("c_n")).isEmpty():
+        return placed_rows(keep, F.col("c_m").isNotNull())
+    # equal rows of which some are taken: those that come first, counted over the partitions
+    some = cut_lineage(keep.where(partly).withColumn(block, F.spark_partition_id()))
+    there = some.groupBy("c_src", r, "size", F.col("doc_id").cast("long").alias("e_doc"), block).agg(F.count("*").alias("e_n"))
+    before = W.partitionBy("c_src", r, "size", "e_doc").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    there = _small(there.withColumn("e_before", F.coalesce(F.sum("e_n").over(before), F.lit(0))).select(
+        F.col("c_src").alias("e_src"), F.col(r).alias("e_r"), F.col("size").alias("e_size"), "e_doc", F.col(block).alias("e_block"), "e_before"))
+    place = F.row_number().over(W.partitionBy("c_src", r, "size", "doc_id", block).orderBy(F.lit(0)))
+    ranked = some.withColumn(src, place).join(there, (F.col("c_src") == F.col("e_src")) & (F.col(r) == F.col("e_r")) & (F.col("size") == F.col("e_size"))
+                                              & F.col("doc_id").cast("long").eqNullSafe(F.col("e_doc")) & (F.col(block) == F.col("e_block")))
+    return (placed_rows(keep.where(~partly), F.col("c_m").isNotNull())
+            .unionByName(placed_rows(ranked, F.col(src) + F.col("e_before") <= F.col("c_m"))))
 
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
