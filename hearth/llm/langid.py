@@ -29,28 +29,39 @@ def clean(text: str) -> str:
 
 
 def learn_dictionaries(docs: DataFrame, lang: str = "lang", rows_per_language: int = 400,
-                       dictionary_bytes: int = 65536, languages: int = 256, seed: int = 11) -> list[tuple[str, bytes]]:
+                       dictionary_bytes: int = 65536, share: int = 8, seed: int = 11) -> list[tuple[str, bytes]]:
     """``[(language, dictionary)]`` from ``docs(doc_id, text, <lang>)``, most frequent first.
 
-    The sample is bounded: of each language about ``rows_per_language`` rows,
-    drawn by a hash, of which whole cleaned texts fill ``dictionary_bytes``; at
-    most ``languages`` languages.  The bounds are the same for every input
-    size.  Rows with a null language, a null text or no letter teach nothing."""
+    The sample is bounded: of each language about ``rows_per_language`` distinct texts,
+    drawn by a hash of the text, cleaned in whole, of each of which at most one part in
+    ``share`` of ``dictionary_bytes`` goes into the dictionary; where too few texts are
+    there to fill it so, what is left over of them follows.  The bounds are the same for every
+    input size; every language is learned (one row and one dictionary of each come to the
+    driver).  Rows with a null language, a null text or no letter teach nothing, and a
+    language without any other has no dictionary and cannot be predicted."""
     rows = docs.select(F.col(lang).cast("string").alias("l"), F.col("text").cast("string").alias("text"),
-                       unit(F.lit(seed), F.col("doc_id"), F.col("text")).alias("u"))
+                       unit(F.lit(seed), F.col("text")).alias("u"))
     rows = rows.where(F.col("l").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    known = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).collect()
-    if not known:
-        return []
-    rate = F.create_map(*[F.lit(x) for r in known for x in (r["l"], rows_per_language / r["count"])])
-    # a text longer than the dictionary can give no more than fills it
-    sample = (rows.where(F.col("u") < rate[F.col("l")])
-              .select("l", "u", F.substring("text", 1, 2 * dictionary_bytes).alias("text")))
-    pieces: dict[str, list[bytes]] = {r["l"]: [] for r in known}
-    for r in sample.orderBy("l", "u", "text").toLocalIterator():
-        if sum(map(len, pieces[r["l"]])) < dictionary_bytes:
-            pieces[r["l"]].append(clean(r["text"]).encode())
-    return [(k, b" ".join(v)[:dictionary_bytes]) for k, v in pieces.items() if v]
+    known = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("u").alias("texts"))
+    # about so many distinct texts of each language; equal texts have one u, so one row of them is kept
+    rate = known.select(F.col("l").alias("k"), "n", (F.lit(float(rows_per_language)) / F.col("texts")).alias("rate"))
+    drawn = (rows.join(rate, F.col("l") == F.col("k")).where(F.col("u") < F.col("rate"))
+             .groupBy("l", "u").agg(F.first("text").alias("text"), F.first("n").alias("n")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [clean(t.as_py()).encode()[:dictionary_bytes] for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("l"), b.column("n"), b.column("u"), pa.array(whole, pa.binary())], ["l", "n", "u", "piece"])
+    pieces = drawn.select("l", "n", "u", "text").mapInArrow(cut, "l string, n long, u double, piece binary").where(F.length("piece") > 0)
+
+    def pack(key: tuple, part: pa.Table) -> pa.Table:
+        got = [p.as_py() for p in part.sort_by("u").column("piece")]
+        most = dictionary_bytes // share
+        first = b" ".join(p[:most] for p in got)[:dictionary_bytes]
+        rest = b" ".join(p[most:] for p in got if len(p) > most)[:max(0, dictionary_bytes - len(first))]
+        return pa.table({"l": pa.array([key[0].as_py()], pa.string()), "n": part.column("n").slice(0, 1).combine_chunks(), "dictionary": pa.array([first + rest], pa.binary())})
+    made = pieces.groupBy("l").applyInArrow(pack, "l string, n long, dictionary binary")
+    return [(r["l"], bytes(r["dictionary"])) for r in sorted(made.toLocalIterator(), key=lambda r: (-r["n"], r["l"]))]
 
 
 class Compressors:
