@@ -13,7 +13,7 @@ where there are several groups the texts are read once for each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -166,7 +166,7 @@ def train(docs: DataFrame, part_tokens: int = 200_000) -> Model:
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, tally = Tokens(), Tally()
+        machine, tally = Tokens(), Tally(1 << 19)
 
         def out(got):
             for keys, counts, _ in got:
@@ -185,7 +185,7 @@ def train(docs: DataFrame, part_tokens: int = 200_000) -> Model:
     parts = Parts(max(1, -(-n // part_tokens)), hot)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, tally = Tokens(), Tally()
+        machine, tally = Tokens(), Tally(1 << 19)
 
         def out(got):
             for keys, counts, before in got:
@@ -258,8 +258,9 @@ def _filter(model: Model, first: int, last: int) -> tuple[np.ndarray, np.ndarray
     return bits, starts[:-1]
 
 
-def _counts(model: Model, k: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of every ``of``-th part of the vocabulary."""
+def _counts(model: Model, k: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every ``of``-th part of the vocabulary: sorted hashes and counts of the repeated
+    tokens, sorted hashes of those that occur once."""
     w, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     mine = model.vocabulary.where(F.pmod(F.xxhash64("w"), F.lit(of)) == k) if of > 1 else model.vocabulary
     packed = mine.mapInArrow(_pack, "w binary, c binary")
@@ -267,9 +268,14 @@ def _counts(model: Model, k: int, of: int) -> tuple[np.ndarray, np.ndarray]:
         w.append(np.frombuffer(r["w"], np.int64))
         c.append(np.frombuffer(r["c"], np.int64))
     words, counts = np.concatenate(w).view(np.uint64), np.concatenate(c)
+    w.clear()
+    c.clear()
+    if counts.max(initial=0) < 1 << 32:
+        counts = counts.astype(np.uint32)
+    once = np.sort(words[counts == 1])
+    words, counts = words[counts > 1], counts[counts > 1]
     order = np.argsort(words)
-    counts = counts[order]
-    return words[order], counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+    return words[order], counts[order], once
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,28 +305,31 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = 256 << 20) -> Da
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.lit(None).cast("binary").alias("uni"), F.lit(0.0).alias("score"))
 
-    def look_up(words: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return np.zeros(len(tokens), np.int64)
+    def look_up(words: np.ndarray, counts: np.ndarray, once: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(tokens, return_inverse=True)
-        at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
-        return np.where(words[at] == distinct, counts[at].astype(np.int64), 0)[back]
-
-    def unigrams(shared) -> callable:
+        out = np.zeros(len(distinct), np.int64)
+        for known, values in ((words, counts), (once, None)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                hit = known[at] == distinct
+                out[hit] = 1 if values is None else values[at[hit]]
+        return out[back]
+
+    def unigrams(shared) -> Callable:
         """Adds the counts of the tokens that this part of the vocabulary knows to ``uni``."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine, (words, counts) = Tokens(), shared.value
+            machine, known = Tokens(), shared.value
             for batch in batches:
                 for part in slices(batch):
                     tokens, starts = machine.of(part.column("text").to_pylist())
-                    got, ends = look_up(words, counts, tokens), [*starts[1:], len(tokens)]
+                    got, ends = look_up(*known, tokens), [*starts[1:], len(tokens)]
                     old = part.column("uni").to_pylist()
                     new = [(got[a:b] + (np.frombuffer(o, np.int64) if o else 0)).astype(np.int64).tobytes() for a, b, o in zip(starts, ends, old)]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(new, pa.binary()), part.column("score")],
                                                      ["doc_id", "text", "uni", "score"])
         return run
 
-    def bigrams(shared, first: int, last: int, last_pass: bool) -> callable:
+    def bigrams(shared, first: int, last: int, last_pass: bool) -> Callable:
         """Adds the logarithms of the tokens whose bigram lies in the parts ``first`` .. ``last`` - 1."""
         def sums(x, starts):
             return np.add.reduceat(x, starts)
@@ -370,19 +379,22 @@ def score(docs: DataFrame, model: Model, broadcast_bytes: int = 256 << 20) -> Da
                                                          ["doc_id", "text", "uni", "score"])
         return run
 
+    def passed(rows: DataFrame, make: Callable, data: tuple, schema: str) -> DataFrame:
+        """One reading of the rows; what was broadcast for it is released."""
+        shared = sc.broadcast(data)
+        out = cut_lineage(rows.mapInArrow(make(shared), schema))
+        shared.destroy()
+        return out
     carried, vocabulary = "doc_id long, text string, uni binary, score double", None
     if vocabulary_groups == 1:
         vocabulary = _counts(model, 0, 1)
     else:
         for k in range(vocabulary_groups):
-            state = cut_lineage(state.mapInArrow(unigrams(sc.broadcast(_counts(model, k, vocabulary_groups))), carried))
+            state = passed(state, unigrams, _counts(model, k, vocabulary_groups), carried)
     for i, (first, last) in enumerate(groups):
         final = i == len(groups) - 1
-        shared = sc.broadcast((*_filter(model, first, last), vocabulary))
-        state = state.mapInArrow(bigrams(shared, first, last, final),
-                                 "doc_id long, n_tokens long, n_known long, base_score double, score double" if final else carried)
-        if not final:
-            state = cut_lineage(state)
+        schema = "doc_id long, n_tokens long, n_known long, base_score double, score double" if final else carried
+        state = passed(state, lambda shared: bigrams(shared, first, last, final), (*_filter(model, first, last), vocabulary), schema)
     return state
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20   # text worked on at a time
+SLICE_BYTES = 1 << 19   # text worked on at a time
 LONG_WORD = 1 << 12     # longer words are hashed one by one
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLANKS = b" \t\n\x0b\x0c\r"   # fixed value: what stands between words
