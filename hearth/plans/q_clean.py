@@ -10,7 +10,7 @@ from hearth.operators import clean as cl
 from hearth.operators import profile as pf
 from hearth.oracle import with_views
 from hearth.plans.registry import register
-from hearth.sources.tables import candidates, households, labeled
+from hearth.sources.tables import HOUSEHOLD_CONTINUOUS, candidates, households, labeled
 
 PATTERNS = pf.DEFAULT_EXCLUDED_PATTERNS + [r"v1"]
 FORCE = ["v10"]
@@ -89,12 +89,12 @@ def q_a22(spark, sf_dir):
 WITH_PLACEHOLDER""", "labeled"))
 def q_a23(spark, sf_dir):
     lab = labeled(spark, sf_dir).where(F.col("cluster") != -1)
-    return cs.histogram_by_cluster(lab, ["total", "qty_avg"])
+    return cs.histogram_by_cluster(lab, HOUSEHOLD_CONTINUOUS)
 
 
 def _hist_sql() -> str:
-    long = ("SELECT cluster, 'total' AS feature, CAST(total AS DOUBLE) AS x FROM labeled WHERE cluster <> -1 "
-            "UNION ALL SELECT cluster, 'qty_avg', CAST(qty_avg AS DOUBLE) FROM labeled WHERE cluster <> -1")
+    long = " UNION ALL ".join(f"SELECT cluster, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM labeled WHERE cluster <> -1"
+                              for c in HOUSEHOLD_CONTINUOUS)
     return with_views("""
 SELECT g.cluster, g.feature, g.bin,
        CASE WHEN hi - lo = 0 THEN lo - 0.5 + g.bin / 20.0 ELSE lo + (hi - lo) * g.bin / 20.0 END AS left_edge,

@@ -13,8 +13,8 @@ from hearth.plans.registry import register
 from hearth.plans.sqlgen import build
 from hearth.sources.tables import HOUSEHOLD_CATEGORICAL, HOUSEHOLD_CONTINUOUS, households
 
-NUM = ["total", "qty_avg"]
-CAT = ["status", "priority"]
+NUM = list(HOUSEHOLD_CONTINUOUS)
+CAT = list(HOUSEHOLD_CATEGORICAL)
 K_FIXED = 4
 
 
@@ -88,7 +88,7 @@ def q_kprototypes_fit(spark, sf_dir):
 
 @register("kmodes_fit")
 def q_kmodes_fit(spark, sf_dir):
-    return _fit_labels(spark, sf_dir, [], CAT + ["ret_status"], 4, 5)
+    return _fit_labels(spark, sf_dir, [], CAT, 4, 5)
 
 
 @register("cao_init")

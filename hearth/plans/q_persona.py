@@ -207,7 +207,8 @@ def q_c13(spark, sf_dir):
     """Two principal components of the z-scored numerics (signs arbitrary)."""
     from pyspark.ml.feature import PCA, VectorAssembler
     from hearth.plans.q_kproto import features
-    num = ["total", "qty_avg", "disc_avg"]
+    from hearth.sources.tables import HOUSEHOLD_CONTINUOUS
+    num = list(HOUSEHOLD_CONTINUOUS)
     f = features(spark, sf_dir, num, [])
     v = VectorAssembler(inputCols=num, outputCol="x").transform(f)
     model = PCA(k=2, inputCol="x", outputCol="pc").fit(v)
