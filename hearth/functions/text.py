@@ -1,18 +1,21 @@
 """Text assembly as column expressions (T1-T4) and chunk packing (T5).
 
 Everything except T5 is a built-in expression (whole-stage codegen).  T5 is
-a greedy, order-dependent fold; only ``(group, seq, length)`` triples go
-through the per-group Python fold (``applyInPandas``), never the text itself,
-and chunk texts are then assembled by a normal ``groupBy(chunk)`` whose
-groups are bounded by the chunk limits.
+a greedy, order-dependent fold, done in segments of bounded length (see
+``chunk_numbers``); only ``(group, seq, length)`` triples go through Python,
+never the text itself, and chunk texts are then assembled by a normal
+``groupBy(chunk)`` whose groups are bounded by the chunk limits.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearth.session import cut_lineage
+
 # Chunk limits of the codebook packer
 MAX_CHUNK_CHARS = 9000
 CODES_HEAD = 12
@@ -165,32 +168,106 @@ def render_blocks(df: DataFrame, var_id: str, label: str, description: str, code
     return d.drop("_lab_n", "_desc_n", "_codes", "_full")
 
 
-def _pack_group(pdf: pd.DataFrame, max_chars: int, max_vars: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq", kind="stable")
-    chunk, count, chars, out = 0, 0, 0, []
-    for seq, ln in zip(pdf["seq"].tolist(), pdf["len"].tolist()):
-        if count and chars + 1 + ln > max_chars:
-            chunk, count, chars = chunk + 1, 0, 0
-        chars += ln + (1 if count else 0)
-        count += 1
-        out.append((seq, chunk))
-        if count >= max_vars:
-            chunk, count, chars = chunk + 1, 0, 0
-    g = pdf["grp"].iloc[0] if len(pdf) else None
-    return pd.DataFrame({"grp": [g] * len(out), "seq": [s for s, _ in out], "chunk_id": [c for _, c in out]})
+def _starts(lens: np.ndarray, max_chars: int, max_vars: int) -> np.ndarray:
+    """For a chunk that begins at block i: where the next one begins."""
+    n = len(lens)
+    upto = np.concatenate([[0], np.cumsum(lens + 1)])     # each block with its separator
+    # blocks i .. j-1 fit if upto[j] - upto[i] - 1 <= max_chars; one block fits always
+    fit = np.searchsorted(upto, upto[:-1] + max_chars + 1, side="right") - 1
+    i = np.arange(n)
+    return np.minimum(np.maximum(fit, i + 1), i + max_vars)
+
+
+def _segment_map(max_chars: int, max_vars: int, segment: int):
+    """Per segment: for each place at which a chunk may begin in it first (its first
+    ``max_vars`` blocks), where the first chunk of the following segment begins and how
+    many chunks begin here."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        own = int((~pdf["ahead"]).sum())
+        nxt = _starts(pdf["len"].to_numpy(dtype=np.int64), max_chars, max_vars)
+        exits, chunks = np.zeros(own, dtype=np.int64), np.zeros(own, dtype=np.int64)
+        for i in range(own - 1, -1, -1):
+            inside = nxt[i] < own
+            exits[i] = exits[nxt[i]] if inside else nxt[i] - own
+            chunks[i] = 1 + (chunks[nxt[i]] if inside else 0)
+        m = min(max_vars, own)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "seg": [int(pdf["seg"].iloc[0])], "own": [own],
+                             "exits": [exits[:m].tolist()], "chunks": [chunks[:m].tolist()]})
+    return run
+
+
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one group's segments, in order: where its first chunk begins and which number it has."""
+    pdf = pdf.sort_values("seg", kind="stable")
+    entry, number, out = 0, 0, []
+    for seg, own, exits, chunks in zip(pdf["seg"], pdf["own"], pdf["exits"], pdf["chunks"]):
+        out.append((seg, entry, number))
+        if entry < own:
+            entry, number = int(exits[entry]), number + int(chunks[entry])
+        else:  # a short last segment that an earlier chunk covers
+            entry -= own
+    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]] * len(out), "seg": [o[0] for o in out],
+                         "entry": [o[1] for o in out], "number": [o[2] for o in out]})
+
+
+def _number_blocks(max_chars: int, max_vars: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        own = int((~pdf["ahead"]).sum())
+        nxt = _starts(pdf["len"].to_numpy(dtype=np.int64), max_chars, max_vars)
+        begins, at = np.zeros(own, dtype=np.int64), int(pdf["entry"].iloc[0])
+        while at < own:
+            begins[at] = 1
+            at = int(nxt[at])
+        # blocks ahead of the entry belong to the chunk before
+        chunk = int(pdf["number"].iloc[0]) - 1 + np.cumsum(begins)
+        return pd.DataFrame({"grp": pdf["grp"].iloc[:own], "seq": pdf["seq"].iloc[:own], "chunk_id": chunk})
+    return run
+
+
+def chunk_numbers(lens: DataFrame, max_chars: int = MAX_CHUNK_CHARS, max_vars: int = VARS_PER_CHUNK,
+                  segment: int = 8192) -> DataFrame:
+    """(grp, seq, chunk_id) for ``lens(grp, seq, len)``; ``seq`` orders a group and is unique in it.
+
+    A group is cut into segments of ``segment`` blocks that different tasks work on.  A chunk
+    holds at most ``max_vars`` blocks, so the first chunk that begins in a segment begins at
+    one of its first ``max_vars`` blocks: each segment maps these to the same question for
+    the next one (it sees that many blocks ahead).  The maps of a group, one small row per segment, are
+    followed from its start; then every segment numbers its own blocks."""
+    segment = max(segment, max_vars)
+    # in order over the partitions: a block's place is its place in the partition plus what lies before
+    placed = lens.repartitionByRange("grp", "seq").withColumn("pid", F.spark_partition_id())
+    placed = cut_lineage(placed.select("grp", "seq", "len", "pid"))
+    before = Window.partitionBy("grp").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("grp", "pid").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = Window.partitionBy("grp", "pid").orderBy("seq")
+    pos = (placed.withColumn("_r", F.row_number().over(inside) - 1).alias("p")
+           .join(offsets.select(F.col("grp").alias("_g"), F.col("pid").alias("_p"), "_before"),
+                 F.col("grp").eqNullSafe(F.col("_g")) & (F.col("pid") == F.col("_p")))
+           .select("grp", "seq", "len", (F.col("_r") + F.col("_before")).alias("pos")))
+    seg = F.floor(F.col("pos") / segment).cast("long")
+    ahead = (F.col("pos") % segment < max_vars) & (seg > 0)
+    where = F.when(ahead, F.array(F.struct(seg.alias("seg"), F.lit(False).alias("ahead")), F.struct((seg - 1).alias("seg"), F.lit(True).alias("ahead")))
+                   ).otherwise(F.array(F.struct(seg.alias("seg"), F.lit(False).alias("ahead"))))
+    rows = cut_lineage(pos.select("grp", "seq", "len", "pos", F.explode(where).alias("w")).select("grp", "seq", "len", "pos", "w.*"))
+    maps = rows.groupBy("grp", "seg").applyInPandas(_segment_map(max_chars, max_vars, segment),
+                                                    "grp string, seg long, own long, exits array<long>, chunks array<long>")
+    entries = maps.groupBy("grp").applyInPandas(_compose, "grp string, seg long, entry long, number long")
+    entries = entries.select(F.col("grp").alias("_g"), F.col("seg").alias("_s"), "entry", "number")
+    return (rows.join(entries, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("seg") == F.col("_s"))).drop("_g", "_s")
+            .groupBy("grp", "seg").applyInPandas(_number_blocks(max_chars, max_vars), "grp string, seq long, chunk_id long"))
 
 
 def pack_chunks(blocks: DataFrame, group_col: str, seq_col: str, block_col: str,
-                max_chars: int = MAX_CHUNK_CHARS, max_vars: int = VARS_PER_CHUNK) -> DataFrame:
+                max_chars: int = MAX_CHUNK_CHARS, max_vars: int = VARS_PER_CHUNK, segment: int = 8192) -> DataFrame:
     """T5: greedy packing in ``seq`` order per group: a new chunk starts when
     chars + 1 separator + block > ``max_chars`` or after ``max_vars`` blocks.
     Returns ``(group, chunk_id, n_blocks, text)`` with blocks joined by '\\n'."""
-    lens = blocks.select(F.col(group_col).alias("grp"), F.col(seq_col).cast("long").alias("seq"),
-                         F.length(block_col).cast("long").alias("len"))
-    assign = lens.groupBy("grp").applyInPandas(
-        lambda pdf: _pack_group(pdf, max_chars, max_vars), "grp string, seq long, chunk_id long")
-    j = blocks.select(F.col(group_col).alias("grp"), F.col(seq_col).cast("long").alias("seq"),
-                      F.col(block_col).alias("block")).join(assign, ["grp", "seq"])
+    keyed = blocks.select(F.col(group_col).cast("string").alias("grp"), F.col(seq_col).cast("long").alias("seq"), F.col(block_col).alias("block"))
+    assign = chunk_numbers(keyed.select("grp", "seq", F.coalesce(F.length("block"), F.lit(0)).cast("long").alias("len")), max_chars, max_vars, segment)
+    assign = assign.select(F.col("grp").alias("_g"), F.col("seq").alias("_s"), "chunk_id")
+    j = keyed.join(assign, F.col("grp").eqNullSafe(F.col("_g")) & (F.col("seq") == F.col("_s")))
     return j.groupBy("grp", "chunk_id").agg(
         F.count(F.lit(1)).alias("n_blocks"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))), lambda s: s["block"]),

@@ -89,7 +89,19 @@ def q_block(spark, sf_dir):
     return tx.render_blocks(t, "var_id", "label", "description", "code_values", "availability").select("seq", "block")
 
 
-@register("pack_chunks")
+_PACK = [("pb", "SELECT grp, seq, " + block_sql('var_id', 'label', 'description', 'code_values', 'availability')
+          + " AS block FROM text_blocks"),
+         ("pl", "SELECT *, length(block) AS len, row_number() OVER (PARTITION BY grp ORDER BY seq) AS rn FROM pb"),
+         ("pk", f"""SELECT grp, rn, 0::BIGINT AS chunk_id, 1 AS cnt, len AS chars FROM pl WHERE rn = 1
+            UNION ALL
+            SELECT grp, rn, chunk_id + fresh, CASE fresh WHEN 1 THEN 1 ELSE cnt + 1 END, CASE fresh WHEN 1 THEN len ELSE chars + 1 + len END
+            FROM (SELECT b.grp, b.rn, b.len, p.chunk_id, p.cnt, p.chars,
+                         CASE WHEN p.cnt >= {tx.VARS_PER_CHUNK} OR p.chars + 1 + b.len > {tx.MAX_CHUNK_CHARS} THEN 1 ELSE 0 END AS fresh
+                  FROM pk p JOIN pl b ON b.grp = p.grp AND b.rn = p.rn + 1)""")]
+
+
+@register("pack_chunks", with_views("""SELECT grp, chunk_id, count(*) AS n_blocks, string_agg(block, chr(10) ORDER BY seq) AS text
+    FROM pk JOIN pl USING (grp, rn) GROUP BY grp, chunk_id""", "text_blocks", extra=_PACK).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_pack(spark, sf_dir):
     t = text_blocks(spark, sf_dir)
     blocks = tx.render_blocks(t, "var_id", "label", "description", "code_values", "availability").select(

@@ -48,3 +48,26 @@ def test_detect_categories(spark):
     got = {r.category for r in pt.detect_categories(fields, meta).collect()}
     # x9_std keeps its suffix, so no metadata hit for x9; 'head_age' -> demographics, mortgage -> debt
     assert got == {"demographics", "income", "debt"}
+
+
+def test_pack_chunks_in_segments_equals_one_fold(spark):
+    """A group that spans many segments and partitions is packed as by one greedy pass."""
+    import random
+    from hearth.functions.text import chunk_numbers
+    random.seed(2)
+    lens = {"hot": [random.choice([0, 1, 5, 40, 120, 99, 100, 101]) for _ in range(3000)], None: [30] * 65, "one": [500], "two": [100, 1]}
+    rows = [(g, i, n) for g, ns in lens.items() for i, n in enumerate(ns)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "grp string, seq long, len long").repartition(7)
+    for segment in (8, 50, 100_000):
+        got = {}
+        for r in chunk_numbers(df, max_chars=200, max_vars=8, segment=segment).collect():
+            got.setdefault(r["grp"], {})[r["seq"]] = r["chunk_id"]
+        for g, ns in lens.items():
+            chunk = count = chars = 0
+            for i, n in enumerate(ns):
+                if count and (count >= 8 or chars + 1 + n > 200):
+                    chunk, count, chars = chunk + 1, 0, 0
+                chars += n + (1 if count else 0)
+                count += 1
+                assert got[g][i] == chunk, (segment, g, i)
