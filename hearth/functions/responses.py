@@ -9,6 +9,7 @@ string- and escape-aware bracket matching is not a regular language.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pandas as pd
@@ -116,6 +117,69 @@ def normalize_answer(raw: Column) -> Column:
             .otherwise(F.coalesce(tok, F.lit(""))))
 
 
+_SIGNS = re.compile(r'["\\{}]')
+
+
+@dataclass
+class _Reading:
+    """One way to read the text from some opener on: inside a string or not, the escaped
+    position, the depth, and the openers that wait to be closed, by depth."""
+    inside: bool
+    escaped: int
+    depth: int
+    waiting: dict[int, list[int]]
+
+    def join(self, other: "_Reading") -> "_Reading":
+        """Both readings agree from here on: one goes on with the openers of both."""
+        keep, add = (self, other) if len(self.waiting) >= len(other.waiting) else (other, self)
+        for depth, starts in add.waiting.items():
+            keep.waiting.setdefault(depth - add.depth + keep.depth, []).extend(starts)
+        return keep
+
+
+def _first_closed(text: str) -> str | None:
+    """The object of the first opener that is closed, in one pass.
+
+    An opener counts strings from itself on, so one inside what an earlier opener takes
+    for a string reads on differently.  At any place there are at most three readings
+    (outside a string, inside, behind a backslash); those that come to agree are joined."""
+    first = text.find("{")
+    readings: list[_Reading] = []
+    best: tuple[int, int] | None = None
+    for m in _SIGNS.finditer(text, max(first, 0)) if first >= 0 else ():
+        at, sign = m.start(), m[0]
+        outside = [r for r in readings if not r.inside]
+        if sign == "{":
+            if not outside:
+                outside = [_Reading(False, -1, 0, {})]
+                readings += outside
+            for r in outside:
+                r.depth += 1
+                r.waiting.setdefault(r.depth, []).append(at)
+        elif sign == "}":
+            for r in outside:
+                for start in r.waiting.pop(r.depth, ()):
+                    if start == first:
+                        return text[start:at + 1]
+                    best = min(best or (start, at + 1), (start, at + 1))
+                r.depth -= 1
+        else:
+            for r in readings:
+                if r.inside and r.escaped == at:
+                    continue
+                if sign == '"':
+                    r.inside = not r.inside
+                elif r.inside:
+                    r.escaped = at + 1
+        if len(readings) > 1:
+            by_state: dict[tuple, _Reading] = {}
+            for r in readings:
+                state = (r.inside, r.inside and r.escaped == at + 1)
+                by_state[state] = by_state[state].join(r) if state in by_state else r
+            readings = list(by_state.values())
+    return None if best is None else text[best[0]:best[1]]
+
+
 # a JSON string (closed or running to the end of the text), or one structural character
 _TOKENS = {pair: re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|' + pair, re.S) for pair in (r"[{}]", r"[\[\]]")}
 
@@ -132,14 +196,14 @@ def _balanced_from(text: str, start: int) -> str | None:
 def balanced_json_py(text: str | None, allow_array: bool = False) -> str | None:
     """The first balanced object.  An opener that never closes is passed
     over for the next one.  With ``allow_array`` the first object or array
-    decides alone.  Brackets inside JSON strings do not count."""
+    decides alone.  Brackets inside JSON strings do not count.  Time grows
+    with the length of the text, however many openers stay unclosed."""
     if not text:
         return None
     if allow_array:
         first = re.search(r"[{\[]", text)
         return _balanced_from(text, first.start()) if first else None
-    found = (_balanced_from(text, m.start()) for m in re.finditer(r"\{", text))
-    return next((x for x in found if x is not None), None)
+    return _first_closed(text)
 
 
 def _scan_objects(texts: pd.Series) -> pd.Series:

@@ -105,3 +105,18 @@ def test_parse_persona_response(spark):
         assert out[i].parse_error == err
     assert out[0].behavior_patterns == ["x"] and out[0].decision_making_logic == "{}"
     assert out[1].pain_points == [] and out[4].core_characteristics == rows[4][0][:200]
+
+
+def test_balanced_json_reads_each_opener_from_itself_in_linear_time():
+    import random
+    import re
+    import time
+    from hearth.functions.responses import _balanced_from, balanced_json_py
+    random.seed(1)
+    for _ in range(20_000):
+        text = "".join(random.choice('{}{}""\\a ') for _ in range(random.randint(1, 24)))
+        each = (_balanced_from(text, m.start()) for m in re.finditer(r"\{", text))
+        assert balanced_json_py(text) == next((x for x in each if x is not None), None), text
+    began = time.time()
+    assert balanced_json_py("{" * 100_000) is None and balanced_json_py('{"\\' * 100_000) is None
+    assert time.time() - began < 10
