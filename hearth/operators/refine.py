@@ -162,58 +162,152 @@ def _num(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def persona_distance(p: PersonaStats, columns: Sequence[str]) -> Column:
-    """J4 distance of a household row to persona ``p``:
-    ``sqrt(sum(((h - mean) / std)^2)) + 0.5 * #mode mismatches``; a missing
-    household numeric contributes 0; std null or <= 0 -> 1; a missing
-    household category is skipped.  Null when nothing is usable."""
-    lower = {c.lower(): c for c in columns}
-    sq, n_num = F.lit(0.0), 0
-    for f, (m, s) in p.means.items():
-        if m is None or not math.isfinite(float(m)):
-            continue
-        sd = 1.0 if (s is None or not math.isfinite(float(s)) or float(s) <= 0) else float(s)
-        col = lower.get(f.lower())
-        h = F.coalesce(_num(F.col(col)), F.lit(float(m))) if col else F.lit(float(m))
-        sq = sq + F.pow((h - F.lit(float(m))) / F.lit(sd), 2)
-        n_num += 1
-    mism, used = F.lit(0), F.lit(0)
-    for f, mode in p.modes.items():
-        col = lower.get(f.lower())
-        if mode is None or col is None:
-            continue
-        hv = F.trim(F.col(col).cast("string"))
-        present = F.col(col).isNotNull()
-        used = used + present.cast("int")
-        mism = mism + (present & (hv != F.lit(mode.strip()))).cast("int")
-    dist = (F.sqrt(sq) if n_num else F.lit(0.0)) + 0.5 * mism.cast("double")
-    if n_num:
-        return dist
-    return F.when(used > 0, dist)
-
-
-def nearest_personas(df: DataFrame, personas: list[PersonaStats], current: Column, top_k: int = 2,
-                     columns: Sequence[str] | None = None) -> Column:
-    """array<struct<persona_id, distance>> of the ``top_k`` nearest personas,
-    excluding ``current`` (when >= 0); ties -> persona order."""
-    cols = list(columns or df.columns)
-    cands = [F.struct(persona_distance(p, cols).alias("distance"), F.lit(i).alias("ord"),
-                      F.lit(p.persona_id).alias("persona_id")) for i, p in enumerate(personas)]
-    arr = F.filter(F.array(*cands), lambda s: s["distance"].isNotNull()
-                   & ((current < 0) | (s["persona_id"] != current)))
-    srt = F.array_sort(arr)  # struct order: distance, then insertion order
-    return F.transform(F.slice(srt, 1, top_k), lambda s: F.struct(s["persona_id"].alias("persona_id"),
-                                                                 s["distance"].alias("distance")))
+PERSONA_BLOCK = 512            # personas whose distances are worked out together
+PERSONA_BYTES = 128 << 20      # statistics shipped to the tasks at once
+
+
+class PersonaTable:
+    """Statistics of many personas as arrays in blocks of similar personas, for J4.
+
+    A block knows the range of its means and its widest spread per field, so a household
+    has a lower bound of its distance to every persona of the block; blocks whose bound
+    is above the ``k``-th best distance so far are passed over."""
+
+    def __init__(self, personas: Sequence[PersonaStats], num: Sequence[str], cat: Sequence[str], first: int = 0):
+        def value(v):
+            return float(v) if v is not None and math.isfinite(float(v)) else math.nan
+        lower = [{f.lower(): v for f, v in p.means.items()} for p in personas]
+        modes = [{f.lower(): v for f, v in p.modes.items()} for p in personas]
+        self.ids = np.array([p.persona_id for p in personas], dtype=np.int64)
+        self.ord = np.arange(first, first + len(personas))
+        mean = np.array([[value(d.get(f.lower(), (None, None))[0]) for f in num] for d in lower], dtype=float).reshape(len(personas), len(num))
+        sd = np.array([[value(d.get(f.lower(), (None, None))[1]) for f in num] for d in lower], dtype=float).reshape(len(personas), len(num))
+        self.there = ~np.isnan(mean)
+        self.mean, self.sd = np.where(self.there, mean, 0.0), np.where(np.isnan(sd) | (sd <= 0), 1.0, sd)
+        # a persona has a numeric part if any of its fields has a mean, whether the table has the field or not
+        self.numeric = np.array([any(not math.isnan(value(m)) for m, _ in p.means.values()) for p in personas], dtype=bool)
+        self.mode = [np.array([m.get(f.lower()).strip() if m.get(f.lower()) is not None else None for m in modes], dtype=object) for f in cat]
+        # neighbours in one block: in order of the first field's mean
+        order = np.argsort(self.mean[:, 0], kind="stable") if len(num) and len(personas) > PERSONA_BLOCK else np.arange(len(personas))
+        self.blocks = [order[i:i + PERSONA_BLOCK] for i in range(0, len(order), PERSONA_BLOCK)]
+        usable = [self.there[b].all(axis=0) for b in self.blocks]
+        self.low = [np.where(u, self.mean[b].min(axis=0), -np.inf) for b, u in zip(self.blocks, usable)]
+        self.high = [np.where(u, self.mean[b].max(axis=0), np.inf) for b, u in zip(self.blocks, usable)]
+        self.wide = [self.sd[b].max(axis=0) for b in self.blocks]
+
+    def _distances(self, block: np.ndarray, x: np.ndarray, cats: list[np.ndarray], current: np.ndarray) -> np.ndarray:
+        sq = np.zeros((len(x), len(block)))
+        for i in range(x.shape[1]):
+            h = x[:, i, None]
+            part = ((h - self.mean[block, i]) / self.sd[block, i]) ** 2
+            sq += np.where(np.isnan(h) | ~self.there[block, i], 0.0, part)
+        mism, used = np.zeros(sq.shape), np.zeros(sq.shape, dtype=bool)
+        for values, mode in zip(cats, self.mode):
+            ask = mode[block]
+            both = pd.notna(values)[:, None] & pd.notna(ask)[None, :]
+            mism += both & (values[:, None] != ask[None, :])
+            used |= both
+        d = np.where(self.numeric[block], np.sqrt(sq), 0.0) + 0.5 * mism
+        d[~(self.numeric[block][None, :] | used)] = np.inf
+        d[(current[:, None] >= 0) & (self.ids[block][None, :] == current[:, None])] = np.inf
+        return d
+
+    def nearest(self, x: np.ndarray, cats: list[np.ndarray], current: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, distances, positions) of the k nearest personas of each row, infinite where
+        there are fewer; ties -> persona order."""
+        none = np.iinfo(np.int64).max
+        best, place = np.full((len(x), k), np.inf), np.full((len(x), k), none)
+        ids = np.full((len(x), k), -1)
+        bounds = []
+        for low, high, wide in zip(self.low, self.high, self.wide):
+            gap = np.maximum(np.maximum(low - x, x - high), 0.0) / wide
+            bounds.append(np.sqrt((np.where(np.isnan(gap), 0.0, gap) ** 2).sum(axis=1)))
+        # the bounds stand a little lower, so that rounding cannot pass over a tie
+        bounds = np.array(bounds).reshape(len(self.blocks), len(x)) * (1 - 1e-12)
+        for j in np.argsort(bounds.mean(axis=1)) if len(x) else []:
+            rows = np.flatnonzero(bounds[j] <= best[:, -1])
+            if not len(rows):
+                continue
+            block = self.blocks[j]
+            d = np.concatenate([best[rows], self._distances(block, x[rows], [c[rows] for c in cats], current[rows])], axis=1)
+            at = np.concatenate([place[rows], np.broadcast_to(self.ord[block], (len(rows), len(block)))], axis=1)
+            who = np.concatenate([ids[rows], np.broadcast_to(self.ids[block], (len(rows), len(block)))], axis=1)
+            for r in range(k):
+                least = d.min(axis=1)
+                pick = np.where(d == least[:, None], at, none).argmin(axis=1)
+                every = np.arange(len(rows))
+                found = np.isfinite(least)
+                best[rows, r] = least
+                place[rows, r] = np.where(found, at[every, pick], none)
+                ids[rows, r] = np.where(found, who[every, pick], -1)
+                d[every, pick] = np.inf
+        return ids, best, place
+
+
+def nearest_personas(df: DataFrame, personas: Sequence[PersonaStats], top_k: int = 2, current: str | None = None,
+                     keep: Sequence[str] = ()) -> DataFrame:
+    """``(hid, *keep, near)`` with ``near`` an array<struct<persona_id, distance>> of the
+    ``top_k`` nearest personas of each row, without the one in column ``current`` (where it is >= 0).
+
+    Distance to a persona: ``sqrt(sum(((h - mean) / std)^2)) + 0.5 * #mode mismatches``; a missing
+    household numeric contributes 0; std null or <= 0 -> 1; a missing household category is
+    skipped; nothing usable -> no candidate.  Ties -> persona order.  Statistics are shipped as
+    arrays, at most ``PERSONA_BYTES`` at once; more personas are scored group by group and each
+    row's lists merged."""
+    lower = {c.lower(): c for c in df.columns}
+    num = list(dict.fromkeys(lower[f.lower()] for p in personas for f in p.means if f.lower() in lower))
+    cat = list(dict.fromkeys(lower[f.lower()] for p in personas for f in p.modes if f.lower() in lower))
+    keep = [c for c in keep if c != "hid"]
+    rows = df.select("hid", *keep, (F.col(current).cast("long") if current else F.lit(-1).cast("long")).alias("_current"),
+                     *[_num(F.col(c)).alias(f"_n{i}") for i, c in enumerate(num)],
+                     *[F.trim(F.col(c).cast("string")).alias(f"_c{i}") for i, c in enumerate(cat)])
+    kept = df.select("hid", *keep).schema
+    step = max(1, PERSONA_BYTES // (16 * max(1, len(num)) + 64 * max(1, len(cat))))
+    groups = [PersonaTable(personas[i:i + step], num, cat, i) for i in range(0, len(personas), step)]
+    if not groups:
+        return df.select("hid", *keep, F.array().cast("array<struct<persona_id:int,distance:double>>").alias("near"))
+    names = ["hid", *keep]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+
+    def scored(table: PersonaTable) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            t = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 2048):
+                    b = batch.iloc[at:at + 2048]
+                    x = np.stack([b[f"_n{i}"].to_numpy(dtype=float) for i in range(len(num))], axis=1) if num else np.zeros((len(b), 0))
+                    cats = [b[f"_c{i}"].astype(object).to_numpy() for i in range(len(cat))]
+                    ids, dist, place = t.nearest(x, cats, b["_current"].fillna(-1).to_numpy(dtype=np.int64), top_k)
+                    out = b[names].copy()
+                    out["near"] = [[{"distance": float(d), "ord": int(o), "persona_id": int(i)} for i, d, o in zip(*r) if math.isfinite(d)]
+                                   for r in zip(ids, dist, place)]
+                    yield out
+        return rows.mapInPandas(run, f"{shape}, near array<struct<distance:double,ord:bigint,persona_id:int>>")
+    out = scored(groups[0])
+    if len(groups) > 1:
+        for g in groups[1:]:
+            out = out.unionByName(scored(g))
+        out = out.groupBy("hid").agg(*[F.first(c).alias(c) for c in keep],
+                                     F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top_k).alias("near"))
+    return out.select(*names, F.transform("near", lambda s: F.struct(s["persona_id"].alias("persona_id"), s["distance"].alias("distance"))).alias("near"))
 
 
 def reassign_noise(df: DataFrame, personas: list[PersonaStats], cluster_of_persona: dict[int, int],
                    label: str = "cluster", noise: int = -1) -> DataFrame:
     """Noise households take the cluster of their nearest persona (no
     candidate -> unchanged).  Only the noise rows evaluate distances."""
-    best = nearest_personas(df, personas, F.lit(noise), 1)[0]["persona_id"]
-    mp = F.create_map(*[x for pid, cid in cluster_of_persona.items() for x in (F.lit(pid), F.lit(cid))])
-    new = F.when(F.col(label) == noise, F.coalesce(mp[best], F.col(label))).otherwise(F.col(label))
-    return df.withColumn(label, new.cast(df.schema[label].dataType))
+    mine = df.where(F.col(label) == noise)
+    kind = df.schema[label].dataType
+    best = nearest_personas(mine, personas, 1, keep=df.columns).withColumn("_p", F.get("near", F.lit(0))["persona_id"])
+    if all(p == c for p, c in cluster_of_persona.items()):
+        new = F.col("_p")
+    else:
+        pairs = df.sparkSession.createDataFrame(list(cluster_of_persona.items()), "_p int, _c int")  # one row per persona
+        best, new = best.join(pairs, "_p", "left"), F.col("_c")
+    moved = best.withColumn(label, F.coalesce(new, F.col(label)).cast(kind)).select(*df.columns)
+    return df.where(F.col(label).isNull() | (F.col(label) != noise)).unionByName(moved)
 
 
 def cluster_persona_map(personas: DataFrame) -> DataFrame:
@@ -371,12 +465,16 @@ def state_transitions(state: DataFrame, outcomes: DataFrame, cluster_of_persona:
     validated -> status validated, last-valid set; outlier -> problem; moved ->
     pending with the new persona's cluster; untouched rows keep their state."""
     o = outcomes.select("hid", "outcome", "persona_id", "new_persona_id", F.col("cluster").alias("o_cluster"))
-    mp = F.create_map(*[x for pid, cid in cluster_of_persona.items() for x in (F.lit(pid), F.lit(cid))])
+    if all(p == c for p, c in cluster_of_persona.items()):
+        target = F.col("new_persona_id")
+    else:
+        pairs = state.sparkSession.createDataFrame(list(cluster_of_persona.items()), "new_persona_id int, _target int")  # one row per persona
+        o, target = o.join(pairs, "new_persona_id", "left"), F.col("_target")
     j = state.join(o, "hid", "left")
     oc = F.col("outcome")
     return j.select(
         "hid",
-        F.when(oc == "moved", F.coalesce(mp[F.col("new_persona_id")], F.col("cluster"))).otherwise(F.col("cluster"))
+        F.when(oc == "moved", F.coalesce(target, F.col("cluster"))).otherwise(F.col("cluster"))
         .cast("int").alias("cluster"),
         F.when(oc == "validated", F.lit(VALIDATED)).when(oc == "outlier", F.lit(PROBLEM))
         .when(oc == "moved", F.lit(PENDING)).otherwise(F.col("status")).alias("status"),

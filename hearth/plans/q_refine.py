@@ -119,8 +119,8 @@ def q_capped(spark, sf_dir):
 def q_nearest(spark, sf_dir):
     lab = labeled(spark, sf_dir)
     ps = _personas(spark, sf_dir, lab)
-    top = rf.nearest_personas(lab, ps, F.col("cluster"), 2)
-    return lab.select("hid", F.posexplode(top).alias("pos", "p")).select(
+    top = rf.nearest_personas(lab, ps, 2, "cluster")
+    return top.select("hid", F.posexplode("near").alias("pos", "p")).select(
         "hid", (F.col("pos") + 1).alias("rank"), F.col("p.persona_id").alias("persona_id"),
         F.col("p.distance").alias("distance"))
 
@@ -190,11 +190,12 @@ def _triaged(spark, sf_dir):
     lab = labeled(spark, sf_dir)
     ps = _personas(spark, sf_dir, lab)
     s = _sample(spark, sf_dir)
-    top = rf.nearest_personas(s, ps, F.col("cluster"), 2)
+    near = rf.nearest_personas(s, ps, 2, "cluster", keep=["cluster", "persona_id"])
+    top = [F.get("near", F.lit(i))["persona_id"] for i in range(2)]
     fit = fit_expr(F.col("hid"), F.col("persona_id"))
-    scored = s.select("hid", "cluster", "persona_id", fit.alias("fit"), fit.alias("combined"),
-                      top[0]["persona_id"].alias("alt1_id"), fit_expr(F.col("hid"), top[0]["persona_id"]).alias("alt1_combined"),
-                      top[1]["persona_id"].alias("alt2_id"), fit_expr(F.col("hid"), top[1]["persona_id"]).alias("alt2_combined"))
+    scored = near.select("hid", "cluster", "persona_id", fit.alias("fit"), fit.alias("combined"),
+                         top[0].alias("alt1_id"), fit_expr(F.col("hid"), top[0]).alias("alt1_combined"),
+                         top[1].alias("alt2_id"), fit_expr(F.col("hid"), top[1]).alias("alt2_combined"))
     return rf.triage(scored), ps
 
 
