@@ -287,22 +287,47 @@ def q_t24(spark, sf_dir):
                                               F.concat(F.lit("Field dictionary:\n"), F.lit(d or ""))).alias("prompt"))
 
 
-@register("parse_persona_response")
+def _t15_sql() -> str:
+    """The twin reads the four shapes with JSON functions; objects here nest one level."""
+    import json
+
+    from hearth.functions import responses as rp
+    logic, biases = json.dumps(rp.FAILED_LOGIC), json.dumps(rp.FAILED_BIASES)
+    extra = _PROF + [
+        ("raw", """SELECT cluster_id, CASE cluster_id % 4 WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+                   WHEN 2 THEN 'Here it is: ' || body || ' thanks' ELSE substr(body, 1, 30) END AS resp FROM (
+                   SELECT cluster_id, '{"persona_name": "Group ' || cluster_id || '", "core_characteristics": "modal status ' || coalesce(status_mode, '?')
+                   || '", "behavior_patterns": ["p1", "p2"], "decision_making_logic": "not an object", "note": ' || n_samples
+                   || ', "behavioral_biases": {"loss_aversion":"seen ' || cluster_id || ' times"}}' AS body FROM prof)"""),
+        ("got", r"""SELECT *, CASE WHEN json_valid(resp) THEN resp ELSE nullif(regexp_extract(resp, '\{([^{}]|\{[^{}]*\})*\}'), '') END AS j FROM raw""")]
+    return with_views(f"""
+SELECT cluster_id, 'psid_cluster_' || cluster_id AS persona_id, coalesce(j ->> '$.persona_name', 'Unnamed Group') AS persona_name,
+       coalesce(j ->> '$.core_characteristics', substr(resp, 1, 200)) AS core_characteristics,
+       CASE WHEN j IS NULL THEN 0 ELSE json_array_length(j, '$.behavior_patterns') END::INTEGER AS n_patterns,
+       CASE WHEN j IS NULL THEN '{logic}' ELSE '{{}}' END AS decision_making_logic,
+       CASE WHEN j IS NULL THEN '{biases}' ELSE CAST(j -> '$.behavioral_biases' AS VARCHAR) END AS behavioral_biases,
+       coalesce(j ->> '$.note', '') AS note, CASE WHEN j IS NULL THEN 'behavioral_biases' ELSE 'behavioral_biases,note' END AS extra_keys,
+       j IS NULL AS parse_error FROM got""", "labeled", extra=extra)
+
+
+@register("parse_persona_response", _t15_sql())
 def q_t15(spark, sf_dir):
-    """T15 (golden-tested): persona responses in four shapes built from each
-    cluster profile (bare JSON, fenced, embedded in prose, truncated)."""
+    """Persona responses in four shapes built from each cluster profile (bare JSON,
+    fenced, embedded in prose, truncated), with keys beyond the base record."""
     from hearth.functions import responses as rp
     prof = _profiles(spark, sf_dir)
     body = F.concat(F.lit('{"persona_name": "Group '), F.col("cluster_id").cast("string"),
                     F.lit('", "core_characteristics": "modal status '), F.coalesce(F.col("status_mode"), F.lit("?")),
-                    F.lit('", "behavior_patterns": ["p1", "p2"], "decision_making_logic": "not an object"}'))
+                    F.lit('", "behavior_patterns": ["p1", "p2"], "decision_making_logic": "not an object", "note": '), F.col("n_samples").cast("string"),
+                    F.lit(', "behavioral_biases": {"loss_aversion":"seen '), F.col("cluster_id").cast("string"), F.lit(' times"}}'))
     k = F.col("cluster_id") % 4
     resp = (F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
             .when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" thanks"))).otherwise(F.substring(body, 1, 30)))
     parsed = prof.select("cluster_id", rp.parse_persona_response(resp).alias("p"))
     return pt.tag_persona(parsed.select("cluster_id", "p.*"), "psid").select(
-        "cluster_id", "persona_id", "persona_name", "core_characteristics", "behavior_patterns",
-        "decision_making_logic", "parse_error")
+        "cluster_id", "persona_id", "persona_name", "core_characteristics", F.size("behavior_patterns").alias("n_patterns"),
+        "decision_making_logic", F.col("extra")["behavioral_biases"].alias("behavioral_biases"),
+        F.coalesce(F.col("extra")["note"], F.lit("")).alias("note"), F.array_join(F.array_sort(F.map_keys("extra")), ",").alias("extra_keys"), "parse_error")
 
 
 @register("fit_prompt_table")

@@ -105,6 +105,15 @@ def test_parse_persona_response(spark):
         assert out[i].parse_error == err
     assert out[0].behavior_patterns == ["x"] and out[0].decision_making_logic == "{}"
     assert out[1].pain_points == [] and out[4].core_characteristics == rows[4][0][:200]
+    assert out[1].extra == {"note": '"say \\"}\\""'} and out[2].extra == {} and set(out[4].extra) == {"behavioral_biases"}
+
+
+def test_persona_record_keeps_open_keys_and_takes_the_given_statistics(spark):
+    text = '{"persona_name": "A", "behavioral_biases": {"loss": [1, null]}, "mood": null, "n": 3.5, "statistics": {"made": "up"}, "behavioral_drivers": {"a": 1}}'
+    df = spark.createDataFrame([(text, '{"n_samples": 7}')], "t string, s string")
+    r = df.select(rp.parse_persona_response(F.col("t"), F.col("s")).alias("p")).first()["p"]
+    assert r.extra == {"behavioral_biases": '{"loss":[1,null]}', "mood": "null", "n": "3.5"}
+    assert r.statistics == '{"n_samples": 7}' and r.behavioral_drivers == '{"a":1}' and not r.parse_error
 
 
 def test_balanced_json_reads_each_opener_from_itself_in_linear_time():
