@@ -32,7 +32,7 @@ from hearth.llm.words import Cutter, Tally, Words, pair, slices
 from hearth.session import cut_lineage
 
 LONGEST = 5
-SHARES = (1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0)   # of all word occurrences, that the frontier may hold, round by round
+SHARES = (1 / 64, 1 / 4, 1.0)   # of all word occurrences, that the frontier may hold, round by round
 # lower case for A-Z, one byte for all that ends a piece
 _BREAK = 10
 _FOLD = bytes(_BREAK if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))

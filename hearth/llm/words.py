@@ -80,22 +80,24 @@ class Cutter:
         starts, ends = edges[::2], edges[1::2]
         first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in low[:-1]])]) if low else np.zeros(0, np.int64)
         owner = np.searchsorted(first, starts, side="right") - 1
-        return Words(buffer, starts, ends, _hashed(data, buffer, starts, ends), owner)
+        return Words(buffer, starts, ends, _hashed(data, inside[1:-1], buffer, starts, ends), owner)
 
 
-def _hashed(data: np.ndarray, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hashed(data: np.ndarray, inside: np.ndarray, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
     # words by runs of about SLICE_BYTES, so that a very long text needs no more memory than others
     cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(starts)]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        s, e = starts[a:b], np.minimum(ends[a:b], starts[a:b] + LONG_WORD)
-        lengths = e - s
+        lengths = ends[a:b] - starts[a:b]
+        own = data[starts[a]:ends[b - 1]][inside[starts[a]:ends[b - 1]]]   # the words' bytes without the gaps
         base = np.concatenate([[0], np.cumsum(lengths)])
-        place = np.arange(base[-1]) - np.repeat(base[:-1], lengths)
+        place = np.arange(len(own)) - np.repeat(base[:-1], lengths)
+        if lengths.max() > LONG_WORD:
+            place = np.minimum(place, LONG_WORD - 1)
         with np.errstate(over="ignore"):
-            out[a:b] = np.add.reduceat(_BYTE[data[np.repeat(s, lengths) + place]] * _POWER[place], base[:-1])
+            out[a:b] = np.add.reduceat(_BYTE[own] * _POWER[place], base[:-1])
     out = mix(out)
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         import xxhash
