@@ -3,9 +3,11 @@ the category sets of many groups with small fixed dimension tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearth.functions.stats import collect_bounded
+
 # A section applies if any of its categories is present
 SECTION_CATEGORIES = {
     "financial_decisions": ["income", "assets", "debt", "financial_behavior"],
@@ -19,31 +21,17 @@ SECTION_CATEGORIES = {
 GENERAL_SECTION = "general_decisions"
 BIAS_SECTION = "behavioral_biases"
 
-# one line per category
-BEHAVIOUR_LINES = {
-    "consumption": "Spending: where the money goes and what is given up first",
-    "financial_behavior": "Money decisions: careful or daring, planned or spontaneous",
-    "education_investment": "Learning: what is invested in schooling, for whom and why",
-    "time_use_lifestyle": "Time: how work, home and leisure are balanced",
-    "employment_behavior": "Working life: steadiness, advancement and commitment",
-    "housing_behavior": "Home: owning or renting, preferred places, readiness to move",
-    "health_behavior": "Health: care sought, cover held and habits kept",
-    "attitudes_expectations": "Outlook: satisfaction, confidence and appetite for risk",
-    "program_participation": "Support: public programs known and used",
-}
-GENERIC_LINES = ["Money: how it is managed and decided on", "Spending: on what, and in which way", "Priorities: between work, family and life"]
-# lines per dataset and category
-CONTEXT_LINES = {
-    "psid": {"housing_behavior": "buy, rent or move", "employment_behavior": "stay, switch or change hours", "education_investment": "schooling for oneself and children",
-             "assets": "save, allocate and prepare for retirement", "debt": "how much to owe and what to repay first"},
-    "shed": {"financial_behavior": "budgets, bills and ready cash", "debt": "access to credit and carrying balances", "attitudes_expectations": "felt well-being and confidence",
-             "income": "buffers against uneven income", "program_participation": "knowing and using assistance"},
-    "acs": {"housing_behavior": "tenure, burden and moves", "employment_behavior": "taking part in work, commuting, occupation", "demographics": "stage of life and who lives together",
-            "income": "income position and its limits"},
-    "ces": {"consumption": "needs against wants", "income": "tight budgets and substitutes", "debt": "credit to even out spending", "assets": "precautionary savings"},
-    "sipp": {"program_participation": "entering and leaving programs", "income": "shocks and recoveries", "employment_behavior": "losing, finding and keeping work",
-             "health_behavior": "choosing and affording cover"},
+# The categories that have a line of behaviour, and per dataset those with a line of context
+BEHAVIOUR_CATEGORIES = ["consumption", "financial_behavior", "education_investment", "time_use_lifestyle", "employment_behavior",
+                        "housing_behavior", "health_behavior", "attitudes_expectations", "program_participation"]
+CONTEXT_CATEGORIES = {
+    "psid": ["housing_behavior", "employment_behavior", "education_investment", "assets", "debt"],
+    "shed": ["financial_behavior", "debt", "attitudes_expectations", "income", "program_participation"],
+    "acs": ["housing_behavior", "employment_behavior", "demographics", "income"],
+    "ces": ["consumption", "income", "debt", "assets"],
+    "sipp": ["program_participation", "income", "employment_behavior", "health_behavior"],
 }
+LINES = "kind string, for_dataset string, category string, pos int, line string"
 
 
 def section_rows() -> list[tuple[str, str, int]]:
@@ -62,26 +50,29 @@ def decision_sections(categories: DataFrame, group: str = "grp") -> DataFrame:
     return hits.select(group, F.explode(F.when(decided, F.col("s")).otherwise(F.concat("s", general))).alias("x")).select(group, "x.pos", "x.section")
 
 
-def line_rows() -> list[tuple[str, str | None, str, int, str]]:
-    """(kind, dataset, category, pos, line)."""
-    rows = [("behaviour", None, c, i, t) for i, (c, t) in enumerate(BEHAVIOUR_LINES.items())]
-    return rows + [("context", d, c, i, t) for d, lines in CONTEXT_LINES.items() for i, (c, t) in enumerate(lines.items())]
+def default_lines(spark: SparkSession) -> DataFrame:
+    """The text dimension of ``guidance_lines`` where none is given: each line is its category's name."""
+    rows = [("behaviour", None, c, i, c.replace("_", " ")) for i, c in enumerate(BEHAVIOUR_CATEGORIES)]
+    rows += [("behaviour", None, None, 0, "household")]
+    rows += [("context", d, c, i, c.replace("_", " ")) for d, cats in CONTEXT_CATEGORIES.items() for i, c in enumerate(cats)]
+    return spark.createDataFrame(rows, LINES)
 
 
-def guidance_lines(categories: DataFrame, group: str = "grp") -> DataFrame:
+def guidance_lines(categories: DataFrame, lines: DataFrame | None = None, group: str = "grp") -> DataFrame:
     """(group, behaviour, context) texts for each group of
-    ``categories(group, dataset, category)``: one behaviour line per category
-    present, the generic lines if there is none; one context line per category
-    that matters for the group's dataset (empty if none)."""
-    lines = F.broadcast(categories.sparkSession.createDataFrame(line_rows(), "kind string, for_dataset string, category string, pos int, line string"))
-    met = categories.select(group, "dataset", "category").distinct().join(lines, "category", "left")
+    ``categories(group, dataset, category)`` from the text dimension ``lines(kind,
+    for_dataset, category, pos, line)``: one behaviour line per category present, the
+    lines without a category if there is none; one context line per category that matters
+    for the group's dataset (empty if none).  The wording is the caller's; the default
+    dimension only names the categories."""
+    lines = default_lines(categories.sparkSession) if lines is None else lines
+    met = categories.select(group, "dataset", "category").distinct().join(lines.where(F.col("category").isNotNull()), "category", "left")
     met = met.where(F.col("for_dataset").isNull() | (F.col("for_dataset") == F.col("dataset")) | F.col("line").isNull())
 
     def text(kind: str):
         picked = F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.struct("pos", "line"))))
         return F.array_join(F.transform(picked, lambda x: F.concat(F.lit("* "), x["line"])), "\n")
-    every = categories.select(group).distinct()
     found = met.groupBy(group).agg(text("behaviour").alias("b"), text("context").alias("c"))
-    generic = F.lit("\n".join(f"* {x}" for x in GENERIC_LINES))
-    return every.join(found, group, "left").select(
-        group, F.when(F.coalesce("b", F.lit("")) == "", generic).otherwise(F.col("b")).alias("behaviour"), F.coalesce("c", F.lit("")).alias("context"))
+    generic = collect_bounded(lines.where(F.col("category").isNull()).agg(text("behaviour").alias("g")), 1, "generic lines")[0]["g"]
+    return found.select(group, F.when(F.coalesce("b", F.lit("")) == "", F.lit(generic)).otherwise(F.col("b")).alias("behaviour"),
+                        F.coalesce("c", F.lit("")).alias("context"))

@@ -215,7 +215,7 @@ def fit_prompt_table(pairs: DataFrame, values_long: DataFrame, persona_stats_lon
                  F.coalesce(F.col("m")["std"], F.lit("N/A"))))
     per = per.select("persona_id", "field", "ord", desc.alias("persona_txt"))
     v = values_long.select("hid", "field", F.coalesce(F.trim(F.col("value").cast("string")), F.lit("N/A")).alias("hh"))
-    j = pairs.select("hid", "persona_id").join(v, "hid").join(F.broadcast(per), ["persona_id", "field"])
+    j = pairs.select("hid", "persona_id").join(v, "hid").join(per, ["persona_id", "field"])
     line = F.concat(F.lit("- "), F.col("field"), F.lit(": household="), F.col("hh"), F.lit(", persona="), F.col("persona_txt"))
     aligned = j.groupBy("hid", "persona_id").agg(F.array_join(F.transform(
         F.slice(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), 1, max_lines), lambda e: e["l"]), "\n")
@@ -252,7 +252,7 @@ def survey_prompt_table(households: DataFrame, concepts: dict[str, list[str]], p
     arr = F.slice(F.filter(F.array(*lines), lambda s: s.isNotNull()), 1, max_lines) if lines else F.array()
     h = households.select(F.col(id_col).alias("hid"), F.col(persona_col).alias("persona_id"),
                           F.array_join(arr, "\n").alias("desc"))
-    names = F.broadcast(persona_names.select("persona_id", "persona_name"))
+    names = persona_names.select("persona_id", "persona_name")
     return h.join(names, "persona_id", "left").select(
         "hid", "persona_id", F.concat(F.lit("Persona: "), F.coalesce("persona_name", F.lit("Unknown")),
                                       F.lit("\nHousehold:\n"), F.col("desc")).alias("prompt"))

@@ -95,7 +95,7 @@ def cluster_persona_counts(df: DataFrame, personas: DataFrame, label: str = "clu
     """Households per cluster with persona id and name (``Unknown`` if unmapped).
     ``personas(cluster_id, persona_id, name)`` is one row per persona (bounded)."""
     counts = df.groupBy(F.col(label).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    p = F.broadcast(personas.select(F.col("cluster_id").alias("cluster"), "persona_id", "name"))
+    p = personas.select(F.col("cluster_id").alias("cluster"), "persona_id", "name")
     return counts.join(p, "cluster", "left").select(
         "cluster", "n", F.coalesce("persona_id", F.lit(-1)).alias("persona_id"),
         F.coalesce("name", F.lit("Unknown")).alias("persona_name"))

@@ -101,7 +101,7 @@ def capped_cluster_sample(need: DataFrame, caps: DataFrame, iteration: int, labe
     a cluster without a cap row gets ``default_cap``.  Adds ``sampled_down``
     (the cluster had more candidates than its cap).  Where every cap is
     positive, ranks beyond the largest are cut before the shuffle."""
-    c = F.broadcast(caps.select(F.col("cluster").alias(label), "cap"))  # one row per cluster
+    c = caps.select(F.col("cluster").alias(label), "cap")
     bounds = caps.agg(F.max("cap").alias("hi"), F.min("cap").alias("lo")).first()
     w = Window.partitionBy(label).orderBy(sample_key(iteration_seed(F.col(label), iteration), F.col(id_col)),
                                           F.col(id_col))
@@ -324,7 +324,7 @@ def initial_mapping(df: DataFrame, cmap: DataFrame, label: str = "cluster") -> D
     first = cmap.groupBy("cluster").agg(F.min("persona_id").alias("persona_id"))
     c = F.col(label).cast("string").try_cast("int")
     h = df.select("hid", F.coalesce(c, F.lit(-1)).alias("initial_cluster"))
-    return h.join(F.broadcast(first.withColumnRenamed("cluster", "initial_cluster")), "initial_cluster", "left") \
+    return h.join(first.withColumnRenamed("cluster", "initial_cluster"), "initial_cluster", "left") \
         .select("hid", "initial_cluster", F.coalesce("persona_id", F.lit(-1)).alias("initial_persona"))
 
 
@@ -567,8 +567,9 @@ def mapping_provenance(state: DataFrame, persona_names: DataFrame, persona_fit:
            .otherwise(F.col("initial_cluster")))
     m = state.select("hid", pid.cast("int").alias("persona_id"), cid.cast("int").alias("final_cluster"),
                      src.alias("mapping_source"), "status")
-    names = F.broadcast(persona_names.select("persona_id", "persona_name"))  # one row per persona
-    fits = F.broadcast(persona_fit.select("persona_id", F.col("fit_score").alias("persona_avg_fit")))
+    # one row per persona: Spark broadcasts them where it has found them small
+    names = persona_names.select("persona_id", "persona_name")
+    fits = persona_fit.select("persona_id", F.col("fit_score").alias("persona_avg_fit"))
     return m.join(names, "persona_id", "left").join(fits, "persona_id", "left") \
         .withColumn("persona_name", F.coalesce("persona_name", F.lit("Unknown")))
 
@@ -627,7 +628,7 @@ def match_cluster_households(profiles: DataFrame, households: DataFrame, label:
     Returns ``(cluster_id, hid)``; profiles are one row per cluster (broadcast)."""
     num_labels = households.select(F.max(F.col(label).cast("string").try_cast("double").isNotNull().cast("int"))
                                    .alias("m")).collect()[0]["m"] == 1
-    p = F.broadcast(profiles.select("cluster_id"))
+    p = profiles.select("cluster_id")
     if num_labels:
         h = households.select("hid", F.col(label).cast("string").try_cast("double").alias("_k"))
         cond = F.col("cluster_id").cast("string").try_cast("double") == F.col("_k")

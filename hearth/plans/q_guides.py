@@ -44,16 +44,34 @@ def q_decision_sections(spark, sf_dir):
     return pg.decision_sections(_groups(spark, sf_dir))
 
 
-@register("guidance_lines", with_views(f"""
-SELECT e.grp, coalesce(b.t, {_sql(chr(10).join('* ' + x for x in pg.GENERIC_LINES))}) AS behaviour, coalesce(c.t, '') AS context
+# the text dimension: what the documents of a category's candidates say first, by category and by dataset
+_LINES = f"""SELECT 'behaviour' AS kind, NULL AS for_dataset, category, pos, line FROM {_values(enumerate(pg.BEHAVIOUR_CATEGORIES), 'pos, category')}
+    JOIN said USING (category)
+    UNION ALL SELECT 'behaviour', NULL, NULL, 0, min(line) FROM said
+    UNION ALL SELECT 'context', for_dataset, category, pos, for_dataset || ': ' || line
+    FROM {_values([(d, c, i) for d, cats in pg.CONTEXT_CATEGORIES.items() for i, c in enumerate(cats)], 'for_dataset, category, pos')} JOIN said USING (category)"""
+
+
+def _lines(spark, sf_dir):
+    said = _groups(spark, sf_dir).groupBy("category").agg(F.concat(F.lit("seen in "), F.min("grp"), F.lit(" to "), F.max("grp")).alias("line"))
+    known = pg.default_lines(spark).drop("line")
+    line = F.when(F.col("kind") == "context", F.concat("for_dataset", F.lit(": "), "line")).otherwise(F.col("line"))
+    named = known.join(said, "category").select("kind", "for_dataset", "category", "pos", line.alias("line"))
+    general = said.agg(F.min("line").alias("line")).select(F.lit("behaviour").alias("kind"), F.lit(None).cast("string").alias("for_dataset"),
+                                                           F.lit(None).cast("string").alias("category"), F.lit(0).alias("pos"), "line")
+    return named.unionByName(general)
+
+
+@register("guidance_lines", with_views("""
+SELECT e.grp, coalesce(b.t, (SELECT '* ' || line FROM l WHERE category IS NULL)) AS behaviour, coalesce(c.t, '') AS context
 FROM (SELECT DISTINCT grp FROM g) e
 LEFT JOIN (SELECT grp, string_agg('* ' || line, chr(10) ORDER BY pos) AS t FROM (SELECT DISTINCT grp, pos, line FROM g JOIN l USING (category)
            WHERE kind = 'behaviour') GROUP BY grp) b USING (grp)
 LEFT JOIN (SELECT grp, string_agg('* ' || line, chr(10) ORDER BY pos) AS t FROM (SELECT DISTINCT grp, pos, line FROM g JOIN l USING (category)
-           WHERE kind = 'context' AND for_dataset = dataset) GROUP BY grp) c USING (grp)""",
-                                       "candidates", extra=[("g", _GROUPS), ("l", f"SELECT * FROM {_values(pg.line_rows(), 'kind, for_dataset, category, pos, line')}")]))
+           WHERE kind = 'context' AND for_dataset = dataset) GROUP BY grp) c USING (grp)""", "candidates", extra=[
+    ("g", _GROUPS), ("said", "SELECT category, 'seen in ' || min(grp) || ' to ' || max(grp) AS line FROM g GROUP BY category"), ("l", _LINES)]))
 def q_guidance_lines(spark, sf_dir):
-    return pg.guidance_lines(_groups(spark, sf_dir))
+    return pg.guidance_lines(_groups(spark, sf_dir), _lines(spark, sf_dir))
 
 
 _FIELDS = """SELECT var_id || CASE seq % 4 WHEN 0 THEN '_mean' WHEN 1 THEN '_std' WHEN 2 THEN '_mode' ELSE '' END AS field FROM candidates
