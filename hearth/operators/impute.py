@@ -250,19 +250,3 @@ def assemble_features(df: DataFrame, continuous: Sequence[str], categorical: Seq
     num = F.array(*[F.col(c).cast("double") for c in continuous]) if continuous else F.array().cast("array<double>")
     cat = F.array(*[F.col(c).cast("string") for c in categorical]) if categorical else F.array().cast("array<string>")
     return df.select(F.col(id_col), num.alias("num"), cat.alias("cat"))
-
-
-def prepare_features(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str],
-                     id_col: str = "hid", n_rows: int | None = None,
-                     profile: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """I1-I8 composed: rules from the whole table, impute, z-score, assemble."""
-    from hearth.operators.profile import field_profile, gate_candidates
-    if n_rows is None:
-        n_rows = df.count()
-    prof = profile if profile is not None else field_profile(df)
-    gates = [r.field_name for r in collect_bounded(gate_candidates(prof).orderBy("ord"), MAX_RULES, "gates")]
-    rules = find_rules(df, continuous, categorical, gates, n_rows)
-    imp = impute(df, continuous, categorical, rules, keep=[id_col])
-    params = zscore_params(imp, continuous)
-    z = zscore(imp, continuous, params, keep=[id_col] + list(categorical))
-    return assemble_features(z, continuous, categorical, id_col), {"rules": rules, "zscore": params}

@@ -132,18 +132,6 @@ def cleaning_decisions(profile: DataFrame, excluded_patterns: Sequence[str] = ()
                           top.alias("top_share"), reason.alias("reason"))
 
 
-def basic_cleaning(df: DataFrame, excluded_patterns: Sequence[str] = (),
-                   force_include: Sequence[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Drop the F5/F6 columns; returns the cleaned table and the F7 report."""
-    prof = field_profile(df)
-    dec = collect_bounded(cleaning_decisions(prof, excluded_patterns, force_include)
-                          .where(F.col("reason").isNotNull()).orderBy("ord"),
-                          MAX_COLUMNS, "cleaning decisions")
-    report = {"removed_missing": [r.field_name for r in dec if r.reason == "missing"],
-              "removed_constant": [r.field_name for r in dec if r.reason == "constant"]}
-    return df.drop(*[r.field_name for r in dec]), report
-
-
 # ---------------------------------------------------------------- gates
 
 def gate_candidates(profile: DataFrame, min_levels: int = 2, max_levels: int = 12,

@@ -48,6 +48,14 @@ _ASSIGN = ("asg", """SELECT hid, cid AS cluster, dist FROM (
 _C = IMP + [_ZS, _FEAT, _CENT, _DIST, _ASSIGN]
 
 
+@register("assemble_features", build(IMP + [_ZS, _FEAT], "SELECT hid, " + ", ".join(f"{c} AS num_{i}" for i, c in enumerate(NUM))
+                                     + ", " + ", ".join(f"{c} AS cat_{i}" for i, c in enumerate(CAT)) + " FROM feat"))
+def q_assemble(spark, sf_dir):
+    """I8 over the imputed, z-scored households; the two arrays laid out by position."""
+    a = imp.assemble_features(features(spark, sf_dir), NUM, CAT)
+    return a.select("hid", *[F.col("num")[i].alias(f"num_{i}") for i in range(len(NUM))], *[F.col("cat")[i].alias(f"cat_{i}") for i in range(len(CAT))])
+
+
 @register("assign_mixed", build(_C, "SELECT hid, cluster, dist FROM asg"))
 def q_assign_mixed(spark, sf_dir):
     f = features(spark, sf_dir)
