@@ -30,3 +30,49 @@ def test_edges(spark):
     assert identify(docs(spark, []), learned).count() == 0
     assert learn_dictionaries(docs(spark, [])) == []
     assert identify(docs(spark, [(1, "word")]), []).first()["lang_pred"] == "und"
+
+
+def test_identify_against_plain_compression(spark):
+    """Each block compressed with each language's dictionary, by a plain loop."""
+    import zstandard
+    from hearth.llm.langid import BLOCK, clean
+    learned = learn_dictionaries(spark.read.parquet(f"{SF}/documents.parquet"))
+    tools = {}
+    for name, content in learned:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tools[name] = zstandard.ZstdCompressor(dict_data=d, compression_params=zstandard.ZstdCompressionParameters.from_level(
+            6, write_content_size=False, write_checksum=False, write_dict_id=False))
+    d = read("documents").head(60)
+    got = {r["doc_id"]: r for r in identify(spark.createDataFrame(d[["doc_id", "text"]]), learned).collect()}
+    for i, text in zip(d.doc_id, d.text):
+        letters = clean(text or "")
+        if not letters:
+            assert got[i]["lang_pred"] == "und"
+            continue
+        sizes = [(sum(len(c.compress(letters[a:a + BLOCK].encode())) for a in range(0, len(letters), BLOCK)), k) for k, (_, c) in enumerate(tools.items())]
+        (low, k), (second, _) = sorted(sizes)[:2]
+        assert got[i]["lang_pred"] == learned[k][0] and abs(got[i]["margin"] - (second - low) / low) < 1e-12
+
+
+def test_languages_without_usable_text_and_hidden_letters(spark):
+    rows = [(i, f"der hund und die katze {i} gehen aus dem haus") for i in range(30)]
+    late = "1234567890 " * 15_000 + "qwxyz kjhgf " * 50     # letters come after 165,000 other characters
+    d = docs(spark, rows).withColumn("lang", F.lit("de"))
+    more = docs(spark, [(100, late), (101, "!!! 12"), (102, ""), (103, None)]).withColumn(
+        "lang", F.when(F.col("doc_id") == 100, "xx").otherwise("none"))
+    learned = dict(learn_dictionaries(d.unionByName(more)))
+    assert set(learned) == {"de", "xx"} and b"qwxyz" in learned["xx"] and all(learned.values())
+    got = identify(docs(spark, [(1, "qwxyz kjhgf qwxyz"), (2, "die katze und der hund")]), list(learned.items())).collect()
+    assert [r["lang_pred"] for r in got] == ["xx", "de"]
+
+
+def test_one_text_gives_a_share_and_every_language_is_learned(spark):
+    big = "mono " * 50_000
+    rows = [(0, big), *[(0, big)] * 5, *[(i, f"word{i} other{i} thing{i} " * 40) for i in range(1, 60)]]
+    d = docs(spark, rows).withColumn("lang", F.lit("aa"))
+    for i in range(300):
+        rows.append((1000 + i, f"lang{chr(97 + i % 26)}{chr(97 + i // 26)} speaks so"))
+    names = spark.createDataFrame([(1000 + i, rows[-300 + i][1], f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    learned = dict(learn_dictionaries(d.select("doc_id", "text", "lang").unionByName(names), dictionary_bytes=4096))
+    assert len(learned) == 301 and next(iter(learned)) == "aa"
+    assert learned["aa"][:3500].count(b"mono") <= 4096 // 8 // 5 + 1 and b"word" in learned["aa"]

@@ -94,3 +94,38 @@ def test_large_partial_block_is_filled_by_sub_blocks(spark):
     got = mix(many, shards=4, block_words=10 ** 9).select("source", "target", (F.size("placements") * F.col("size")).alias("taken"))
     for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
         assert abs(r["target"] - r["taken"]) <= 1
+
+
+def _taken(got):
+    rows = got.select("source", "target", (F.size("placements") * F.col("size")).alias("taken")).groupBy("source")
+    return {r["source"]: (r["target"], r["taken"]) for r in rows.agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+
+
+@pytest.mark.parametrize("doc_id", ["null", "7", "id"])
+def test_targets_are_met_with_null_and_repeated_ids(spark, doc_id):
+    """Different texts are different documents, whatever their ids."""
+    many = spark.range(3000).select(F.expr(f"cast({doc_id} as long)").alias("doc_id"), F.expr("concat('a b c w', id)").alias("text"),
+                                    F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    for target, taken in _taken(mix(many, shards=4)).values():
+        assert abs(target - taken) <= 4
+
+
+def test_of_equal_rows_so_many_are_taken_as_fit(spark):
+    """One text is most of a source: a part of its copies is taken, each at most three times."""
+    hot = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("x y z").alias("text"), F.lit("b").alias("source"))
+    rest = spark.range(1000).select((F.col("id") + 10).alias("doc_id"), F.expr("concat('q r w', id)").alias("text"),
+                                    F.when(F.col("id") < 300, "b").otherwise("a").alias("source"))
+    docs_ = hot.unionByName(rest).repartition(5)
+    got = mix(docs_, shards=3).cache()
+    assert got.count() == 3000 and got.agg(F.max(F.size("placements"))).first()[0] <= 3
+    for target, taken in _taken(got).values():
+        assert abs(target - taken) <= 2
+    copies = {r["n"] for r in got.where("doc_id = 5").select(F.size("placements").alias("n")).distinct().collect()}
+    assert len(copies) == 2
+    assert _taken(mix(docs_.repartition(3), shards=3)) == _taken(got)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 400_000, "a"), *[(i, "u v", "a") for i in range(2, 40)], (99, "z", "b")]
+    for target, taken in _taken(mix(docs(spark, rows), shards=2)).values():
+        assert abs(target - taken) <= 200_001
