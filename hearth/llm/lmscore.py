@@ -28,8 +28,8 @@ from hearth.llm.words import Cutter, Tally, mix, pair, slices
 from hearth.session import cut_lineage
 
 END, BEGIN, FOLLOWERS = (np.uint64(x) for x in (0xE0D0E0D0E0D0E0D1, 0xB0E6B0E6B0E6B0E7, 0xF0110F0110F01103))
-PROBES = 8          # bits per event
-BITS = 12           # filter bits for each event: one false hit in about 300
+PROBES = 6          # bits per event
+BITS = 12           # filter bits for each event: one false hit in about 270
 STEP = 1.25         # growth of the quantisation's steps
 
 
