@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +73,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written once in the shared checkpoint folder and read again.  For loops
+    whose state is joined in every round: a checkpoint keeps the size estimate of its plan,
+    which multiplies at each join and grows without end; a file has its own size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/written-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
