@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from hearth.llm.common import held_out, table, unit
 from hearth.llm.registry import register
+from hearth.session import cut_lineage
 
 BLOCK = 1024
+BROADCAST_ROWS = 200_000
 _ASCII_NOT_LETTERS = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
@@ -44,7 +46,9 @@ def learn_dictionaries(docs: DataFrame, lang: str = "lang", rows_per_language: i
     rows = rows.where(F.col("l").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = rows.groupBy("l").agg(F.count("*").alias("n"), F.approx_count_distinct("u").alias("texts"))
     # about so many distinct texts of each language; equal texts have one u, so one row of them is kept
-    rate = known.select(F.col("l").alias("k"), "n", (F.lit(float(rows_per_language)) / F.col("texts")).alias("rate"))
+    rate = cut_lineage(known.select(F.col("l").alias("k"), "n", (F.lit(float(rows_per_language)) / F.col("texts")).alias("rate")))
+    if rate.count() <= BROADCAST_ROWS:  # one row per language; so the texts stay where they are
+        rate = F.broadcast(rate)
     drawn = (rows.join(rate, F.col("l") == F.col("k")).where(F.col("u") < F.col("rate"))
              .groupBy("l", "u").agg(F.first("text").alias("text"), F.first("n").alias("n")))
 
