@@ -41,7 +41,7 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_run_and_registration(spark):
     q = entry.queries()
-    assert q["pipeline"] is corpus_pipeline.run and [k for k in q if k.startswith("op")].__len__() == 10
+    assert q["pipeline"] is corpus_pipeline.run and [k for k in q if k.startswith("op")].__len__() == 13
     assert "pipeline" not in entry.oracle_sql()
     assert {"doc_id", "text", "size", "shard", "slot"} <= set(corpus_pipeline.run(spark, SF).columns)
 
