@@ -2,6 +2,8 @@
 from 2 to 15 that the distinct rows allow."""
 
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,22 @@ def test_kmodes_sweep_ends_at_15_or_the_distinct_rows(spark, levels, last):
     f = spark.createDataFrame([(i, str(i % a), str(i % b)) for i in range(60)], "hid long, a string, b string")
     got = sweep.kmodes_sweep(f, ["a", "b"]).orderBy("k").collect()
     assert [r["k"] for r in got] == list(range(2, last + 1))
+
+
+def test_rounds_read_blocks_encoded_once_and_rows_without_numerics_as_counts(spark):
+    df = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("hid"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("string")).alias("a"),
+                                             (F.col("id") % 3).cast("string").alias("b"), (F.col("id") % 7).cast("double").alias("x"))
+    packed = kp.pack(df, [], ["a", "b"])
+    blocks = [pickle.loads(r["block"]) for r in packed.collect()]
+    assert len(blocks) == 4 and all(len(w) == 15 for _, _, w in blocks) and sum(w.sum() for _, _, w in blocks) == 40_000
+    cents = {(2, 0): kp.Centroids([[1.0], [5.0]], [[None, "1"], ["2", "2"]])}
+    for num in ([], ["x"]):
+        c = {m: kp.Centroids(v.num if num else [], v.cat) for m, v in cents.items()}
+        (sums, modes), = kp.one_pass(kp.pack(df, num, ["a", "b"]), num, ["a", "b"], c, 0.5).values()
+        near = kp.assign(df, num, ["a", "b"], c[2, 0])
+        plain = {r["cluster"]: r for r in near.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("d")).collect()}
+        top = {r["cluster"]: r for r in kp.update_centroids(near.join(df, "hid"), num, ["a", "b"]).collect()}
+        for j in (0, 1):
+            assert sums[j][0] == plain[j]["n"] and sums[j][1] == pytest.approx(plain[j]["d"])
+            assert modes[j] == [top[j]["c0"], top[j]["c1"]]
+            assert not num or sums[j][2] / sums[j][0] == pytest.approx(top[j]["n0"])
