@@ -55,3 +55,21 @@ def test_profile_of_odd_values(spark):
     assert got["b"]["mean"] == 0.75 and got["d"]["q50"] == 0.0 and math.isnan(got["d"]["mean"])
     assert got["s"]["entropy_ln"] == pytest.approx(1.5 * math.log(2), abs=1e-9)
     assert pf.field_profile(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_quantiles_of_plain_values_need_no_sketch_and_outliers_stay_exact(spark, monkeypatch, few):
+    sketched = []
+    plain = st.F.percentile_approx
+    monkeypatch.setattr(st.F, "percentile_approx", lambda *a: sketched.append(1) or plain(*a))
+    monkeypatch.setattr(st, "FEW_GROUPS", few)
+    x = np.random.default_rng(2).normal(0, 5, 3000)
+    data = {"plain": x, "steps": np.floor(x), "one": np.full(500, 2.5)}
+    odd = {"far": np.append(x, 1e300), "inf": np.append(x, [np.inf, -np.inf]), "tiny": np.append(x * 1e-12, -1.0)}
+    probs = [0.25, 0.5, 0.9]
+    for part, sketches in ((data, 0), (odd, 1)):
+        df = spark.createDataFrame([(g, float(v)) for g, vs in part.items() for v in vs], "g string, x double")
+        got = {r["g"]: r for r in st.quantiles(df, ["g"], "x", probs, max_exact=100).collect()}
+        for g, vs in part.items():
+            assert np.allclose([got[g].q25, got[g].q50, got[g].q90], np.percentile(vs, [25, 50, 90]), rtol=1e-12, atol=0)
+        assert len(sketched) == sketches
