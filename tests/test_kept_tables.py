@@ -33,3 +33,19 @@ def test_households_dropped_from_the_cache_are_kept_anew(spark, sf_dir):
     assert tb.households(spark, sf_dir).storageLevel.useMemory
     spark.catalog.clearCache()
     assert tb.households(spark, sf_dir).storageLevel.useMemory
+
+
+@pytest.mark.parametrize("levels", [["o", "ö", "Ω", "P"], [f"s{i}" for i in range(tb.CODED_LEVELS + 1)], [None]])
+def test_least_line_status_of_any_levels(spark, sf_dir, tmp_path, levels):
+    rows = [(k, "R" if j else "N", float(j), 1.0, 0.1, levels[(k * 7 + j) % len(levels)]) for k in range(100) for j in range(3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_extendedprice double, l_quantity double, l_discount double, "
+                                "l_linestatus string").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    h = tb.households(spark, sf_dir)
+    got = {r["hid"]: r["ret_status"] for r in h.collect()}
+    for k in range(100):
+        assert got[k] == min((r[5] for r in rows if r[0] == k and r[1] == "R" and r[5]), key=str.encode, default=None)
+    assert got[200] is None and len(got) == 300
+
+
+def test_lines_are_hashed_not_sorted(spark, sf_dir):
+    assert "SortAggregate" not in tb.households(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
